@@ -1,0 +1,7 @@
+"""The queries of the engine's own operators, by name, with their SQL."""
+
+from __future__ import annotations
+
+FLAGSHIP = ""
+QUERIES: dict = {}
+ORACLES: dict = {}
