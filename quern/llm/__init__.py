@@ -10,6 +10,7 @@ import importlib
 #: Modules that register a query, in the order of their numbers.
 MODULES = (
     "sharding",
+    "simhash",
     "rules",
     "mixing",
 )
