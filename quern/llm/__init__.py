@@ -13,6 +13,7 @@ MODULES = (
     "simhash",
     "sstable",
     "rules",
+    "classifier",
     "mixing",
 )
 
