@@ -11,6 +11,7 @@ import importlib
 MODULES = (
     "sharding",
     "simhash",
+    "tagpaths",
     "sstable",
     "rules",
     "classifier",
