@@ -15,6 +15,7 @@ MODULES = (
     "sstable",
     "rules",
     "classifier",
+    "katz",
     "mixing",
 )
 
