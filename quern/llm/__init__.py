@@ -11,6 +11,7 @@ import importlib
 MODULES = (
     "sharding",
     "simhash",
+    "nndescent",
     "tagpaths",
     "sstable",
     "rules",
