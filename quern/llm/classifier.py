@@ -113,24 +113,29 @@ class Model:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     terms = Terms()
     for batch in batches:
-        x = [terms.counts(t.as_py() or b"").astype("<f4").tobytes() for t in batch.column(1).cast(pa.large_binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["label", "x"])
-
-
-def fit(labelled: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS, text: str = "text", ident: str = "doc_id", label: str = "label") -> Model:
-    """Fit on at most ``sample`` rows of ``labelled``; rows with a null label or text don't count."""
-    rows = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull())
-    rows = rows.select(F.col(ident).alias("i"), F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
-    order = [F.xxhash64("i", "text"), F.col("i")]
-    halves = [rows.where(F.col("label") == v).orderBy(*order).limit(sample // 2) for v in (0, 1)]
-    got = halves[0].union(halves[1]).select("label", "text").mapInArrow(_vectors, "label int, x binary").collect()
+        x = [terms.counts(t.as_py() or b"").astype("<f4").tobytes() for t in batch.column(2).cast(pa.large_binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["i", "label", "x"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS, text: str = "text", ident: str = "doc_id") -> Model:
+    """Fit on at most ``sample`` documents that ``labels`` (``doc_id``, ``label``) names.
+
+    Null and other labels than 0 and 1 don't count, nor do null identifiers; of a repeated identifier one row counts.
+    The sample is chosen by identifiers alone and then looked up, so that texts are not shuffled.
+    """
+    named = labels.select(F.col("doc_id").alias("i"), F.col("label").cast("int").alias("label")).where("label in (0, 1) and i is not null")
+    named = named.groupBy("i").agg(F.max("label").alias("label"))
+    ids = docs.select(F.col(ident).alias("i")).distinct().join(named, "i")
+    halves = [ids.where(F.col("label") == v).orderBy(F.xxhash64("i"), "i").limit(sample // 2) for v in (0, 1)]
+    chosen = F.broadcast(halves[0].union(halves[1]))  # ``sample`` rows at most
+    rows = docs.select(F.col(ident).alias("i"), F.col(text).alias("text")).join(chosen, "i").select("i", "label", "text")
+    rows = rows.mapInArrow(_vectors, "i long, label int, x binary").groupBy("i").agg(F.min_by(F.struct("label", "x"), "x").alias("r"))
+    got = [r["r"] for r in rows.orderBy("i").collect()]
     if not got:
         none = np.zeros((0, dimensions), dtype=np.float32)
         return Model(np.zeros(TERMS, np.float32), np.zeros((TERMS, dimensions), np.float32), none, np.zeros(0), np.zeros(0))
     x = np.stack([np.frombuffer(r["x"], dtype="<f4") for r in got])
     y = np.array([r["label"] for r in got], dtype=np.float32)
-    order = np.lexsort((*x.T[:3], y))
-    x, y = x[order], y[order]
     mean = x.mean(axis=0)
     _, _, right = np.linalg.svd(x - mean, full_matrices=False)
     axes = np.ascontiguousarray(right[:dimensions].T.astype(np.float32))
@@ -166,9 +171,8 @@ def remainder(ident: Column, divisor: int) -> Column:
 def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> Model:
     """The model of ``labels.quality``, from documents whose remainder modulo 4 is not 2."""
     docs = table(spark, sf_dir, "documents") if docs is None else docs
-    labels = table(spark, sf_dir, "labels").where("quality is not null").select(F.col("doc_id").alias("_i"), F.col("quality").alias("label"))
-    ours = docs.select("doc_id", "text").where(remainder(F.col("doc_id"), 4) != 2)
-    return fit(ours.join(labels, F.col("doc_id") == F.col("_i")).drop("_i"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return fit(docs.where(remainder(F.col("doc_id"), 4) != 2), labels)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
