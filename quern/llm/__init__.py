@@ -14,6 +14,7 @@ MODULES = (
     "nndescent",
     "tagpaths",
     "sstable",
+    "pieces",
     "rules",
     "classifier",
     "katz",
