@@ -59,28 +59,13 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_SOURCES else df
 
 
-def mix(
-    docs: DataFrame,
-    size: Column | None = None,
-    source: str = "source",
-    ident: str = "doc_id",
-    weights: tuple[int, ...] = WEIGHTS,
-    epochs: int = 3,
-) -> DataFrame:
-    """Per document: identifier, size, its source's size and target, and how many of its words the mix takes.
-
-    The default size is the number of words.  A null source is a source of its own, named last; a null text has size 0.
-    Repeated rows hash alike and are taken together.  A source of size 0 has target 0.  An empty table gives an empty result.
-    Columns other than the three named take no part.
-    """
+def _keyed(docs: DataFrame, size: Column | None, source: str, ident: str) -> list[Column]:
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)) if size is None else size
-    rows = docs.select(
-        F.col(ident).alias("doc_id"),
-        F.col(source).alias("source"),
-        words.cast("long").alias("size"),
-        unit_hash(F.col(ident)).alias("h"),
-    )
-    rows = durable(rows, "mix-keys")
+    return [F.col(ident).alias("doc_id"), F.col(source).alias("source"), words.cast("long").alias("size"), unit_hash(F.col(ident)).alias("h")]
+
+
+def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = 3) -> tuple[DataFrame, int]:
+    """Whole epochs and hash threshold of each source, and the number of sources; ``rows`` is a stored table of source, size, h."""
     plan = durable(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs), "mix-plan")
     n = plan.count()
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -108,11 +93,43 @@ def mix(
     )
     plan = plan.join(cut.withColumnRenamed("source", "_s"), F.expr("source <=> _s"), "left").drop("_s")
     plan = durable(plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", "threshold"), "mix-thresholds")
-    out = rows.join(_small(plan, n), F.expr("source <=> _s"), "left").drop("_s")
-    part = (F.col("h") < F.coalesce("threshold", F.lit(0).cast("long"))).cast("long")
-    return out.withColumn("copies", F.least(F.col("whole") + part, F.lit(epochs).cast("long"))).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
-    )
+    return plan, n
+
+
+def _copies(rows: DataFrame, plan: DataFrame, n: int, source: Column, h: Column, epochs: int) -> DataFrame:
+    """``rows`` with the source's size and target and the number of copies that the mix takes of each."""
+    part = (h < F.coalesce("threshold", F.lit(0).cast("long"))).cast("long")
+    out = rows.join(_small(plan, n), source.eqNullSafe(F.col("_s")), "left")
+    return out.withColumn("_copies", F.least(F.col("whole") + part, F.lit(epochs).cast("long")))
+
+
+def mix(
+    docs: DataFrame,
+    size: Column | None = None,
+    source: str = "source",
+    ident: str = "doc_id",
+    weights: tuple[int, ...] = WEIGHTS,
+    epochs: int = 3,
+) -> DataFrame:
+    """Per document: identifier, size, its source's size and target, and how many of its words the mix takes.
+
+    The default size is the number of words.  A null source is a source of its own, named last; a null text has size 0.
+    Repeated rows hash alike and are taken together.  A source of size 0 has target 0.  An empty table gives an empty result.
+    Columns other than the three named take no part.
+    """
+    rows = durable(docs.select(_keyed(docs, size, source, ident)), "mix-keys")
+    plan, n = thresholds(rows, weights, epochs)
+    out = _copies(rows, plan, n, F.col("source"), F.col("h"), epochs)
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("_copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, source: str = "source", ident: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, epochs: int = 3) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with their columns; texts are not shuffled."""
+    rows = durable(docs.select(_keyed(docs, None, source, ident)), "mix-keys")
+    plan, n = thresholds(rows, weights, epochs)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    out = _copies(whole, plan, n, F.col("row")[source], unit_hash(F.col("row")[ident]), epochs).where("_copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

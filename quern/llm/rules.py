@@ -52,13 +52,15 @@ def _run_cover(at: Column) -> Column:
     return F.aggregate(F.transform(at, gap), F.lit(0), lambda a, x: a + x)
 
 
-def measures(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+def measures(docs: DataFrame, text: str = "text", ident: str = "doc_id", carry: bool = False) -> DataFrame:
     """Counts for each document: ``n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words n_stop_words``.
 
-    A null or empty text has all counts 0.  Repeated rows are measured each.  Other columns are left out.
+    A null or empty text has all counts 0.  Repeated rows are measured each.  Other columns are left out, or with ``carry`` kept
+    as one struct ``row``, so that no names clash.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(ident).alias("doc_id"), body.alias("_t"), word_array(body).alias("_w"))
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select(F.col(ident).alias("doc_id"), *row, body.alias("_t"), word_array(body).alias("_w"))
     rows = rows.withColumn("_n", F.size("_w"))
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0)
     windows = F.sequence(F.lit(0), F.col("_n") - 3)
@@ -89,6 +91,7 @@ def measures(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> Data
     long = lambda c: c.cast("long")
     return rows.select(
         "doc_id",
+        *(["row"] if carry else []),
         long(F.col("_n")).alias("n_words"),
         long(F.length("_joined")).alias("word_chars"),
         long(F.regexp_count("_joined", F.lit("[#*$%&|<>]"))).alias("n_symbols"),
@@ -125,6 +128,11 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return measured.withColumns({"base_failed": base, "kept": kept} | {f"ok_{k}": v for k, v in verdicts.items()})
 
 
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that pass the base rule and all thresholds, with their columns."""
+    return judge(measures(docs, carry=True), rules).where("kept").select("row.*")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(measures(table(spark, sf_dir, "documents"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
