@@ -9,29 +9,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, rules
+from quern.llm import classifier, mixing, pieces, rules, simhash
 from quern.llm.common import durable
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled among them, scores at its threshold or above."""
+    model = classifier.quality_model(spark, sf_dir, docs)
+    scored = classifier.score(docs.select(COLUMNS), model, name="_quality")
+    return scored.where(F.col("_quality") >= classifier.THRESHOLD).select(COLUMNS)
+
+
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the threshold table."""
-    return rules.keep(docs).select(COLUMNS)
+    return rules.keep(docs.select(COLUMNS))
+
+
+def by_fingerprint(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least identifier, of each group of near-duplicates."""
+    return simhash.keep_one(docs.select(COLUMNS))
 
 
 def by_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs, keep=docs.columns).where("copies > 0")
-    return taken.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
+    """Each document as often as the mix takes it: none to three times."""
+    return mixing.mixed(docs.select(COLUMNS))
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Identifier, source and piece ids of each document."""
+    import public_tokenizers
+
+    return pieces.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
 STAGES = [
+    ("quality_classifier", by_quality),
     ("quality_rules", by_rules),
+    ("simhash_near_dedup", by_fingerprint),
     ("mixing", by_mixture),
+    ("sentencepiece", to_pieces),
 ]
 
-#: Fingerprints and pieces are not SQL; tests hold the pipeline against a brute-force version.
+#: Fingerprints, neighbour votes and pieces are not SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
