@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, word_array
+from .common import durable, table, word_array
 
 SYMBOLS = "#*$%&|<>"
 POSITION_BITS = 16
@@ -129,8 +129,13 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass the base rule and all thresholds, with their columns."""
-    return judge(measures(docs, carry=True), rules).where("kept").select("row.*")
+    """The rows of ``docs`` that pass the base rule and all thresholds, with their columns.
+
+    The verdicts are stored before rows are filtered by them: a filter on a projection this deep is otherwise moved below it by the
+    optimizer, which then copies every measure into every place that uses it.
+    """
+    judged = judge(measures(docs, carry=True), rules).select("row", "kept")
+    return durable(judged, "rules-kept").where("kept").select("row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
