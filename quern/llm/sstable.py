@@ -18,6 +18,8 @@ file, so no task holds more than a block and the index.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -43,7 +45,9 @@ BITS_PER_KEY, BLOOM_HASHES = 10, 7
 #: Shards up to which their key ranges go to the tasks of a lookup.
 MANIFEST_ROWS = 100_000
 #: Words whose ids a worker remembers, and the longest of them; forgotten all at once when there are more.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 800_000, 64
+#: Words of these letters have no composed form that differs, and their lower case has as many letters.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def key_of(ident: int | None) -> bytes:
@@ -190,35 +194,73 @@ class Reader:
 _TOKENIZERS: dict = {}
 
 
-def encoder(path: str):
-    """A function from a text's UTF-8 bytes to its ids as bytes, with the width of an id.
+class Encoder:
+    """Ids of texts as bytes, by a tokenizer that drops white space between words, so that a text's ids are those of its words.
 
-    The tokenizer's first step drops white space between words, so ids of a text are those of its words in turn; a worker
-    remembers the ids of words it has met.  A tokenizer that doesn't work so must not be used here.
+    A worker remembers the ids of words it has met.  Where the tokenizer is seen to ignore case and to cut a comma or a full stop
+    off a word of Latin letters, the word without them is looked up.
     """
-    if path not in _TOKENIZERS:
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        width = 2 if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        known: dict[bytes, bytes] = {}
-
-        def encode(data: bytes) -> bytes:
-            words = data.split()
-            new = [w for w in set(words) if w not in known]
-            extra: dict[bytes, bytes] = {}
-            if new:
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = list(set(words))
-                got = tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                for w, e in zip(new, got, strict=True):
-                    (known if len(w) <= LONGEST and len(known) < REMEMBERED else extra)[w] = np.array(e.ids, dtype=f"<u{width}").tobytes()
-            if extra:
-                return b"".join([known[w] if w in known else extra[w] for w in words])
-            return b"".join(map(known.__getitem__, words))
-
-        _TOKENIZERS[path] = encode, width
+        self.tokenizer = Tokenizer.from_file(path)
+        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.known: dict[bytes, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        ids = dict(zip(("Ab,", "ab", ",", "\u00c9b.", "\u00e9b", "."), self._ask(["Ab,", "ab", ",", "\u00c9b.", "\u00e9b", "."]), strict=True))
+        self.cuts = ids["Ab,"] == ids["ab"] + ids[","] and ids["\u00c9b."] == ids["\u00e9b"] + ids["."]
+        self.ends = {"": b"", ",": ids[","], ".": ids["."]}
+
+    def _ask(self, words: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in got]
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not met before; those too long to remember are returned."""
+        parts, whole = [], []
+        for w in words:
+            text = w.decode()
+            end = text[-1] if text[-1] in ",." else ""
+            core = text[: len(text) - len(end)]
+            if self.cuts and LATIN.fullmatch(core):
+                parts.append((w, core.lower(), end))
+            else:
+                whole.append((w, text))
+        new = list({core for _, core, _ in parts if core not in self.plain})
+        if len(self.plain) + len(new) > REMEMBERED:
+            self.plain.clear()
+            new = list({core for _, core, _ in parts})
+        self.plain.update(zip(new, self._ask(new), strict=True))
+        extra: dict[bytes, bytes] = {}
+        for w, core, end in parts:
+            (self.known if len(w) <= LONGEST else extra)[w] = self.plain[core] + self.ends[end]
+        for (w, _), ids in zip(whole, self._ask([t for _, t in whole]), strict=True):
+            (self.known if len(w) <= LONGEST else extra)[w] = ids
+        return extra
+
+    def batch(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text, in turn; the texts' new words are encoded together."""
+        for at in range(0, len(texts), 256):
+            words = [t.split() for t in texts[at : at + 256]]
+            met = set().union(*words)
+            new = [w for w in met if w not in self.known]
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+                new = list(met)
+            extra = self._learn(new) if new else {}
+            ids = (self.known | extra) if extra and len(self.known) < 1 << 12 else self.known
+            for w in words:
+                if extra and ids is self.known:
+                    yield b"".join([ids[x] if x in ids else extra[x] for x in w])
+                else:
+                    yield b"".join(map(ids.__getitem__, w))
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = Encoder(path)
     return _TOKENIZERS[path]
 
 
@@ -240,13 +282,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         name = f"shard-{shard:06d}.sst"
-        encode, width = encoder(tokenizer)
-        end = np.array([end_id], dtype=f"<u{width}").tobytes()
+        encode = encoder(tokenizer)
+        end = np.array([end_id], dtype=f"<u{encode.width}").tobytes()
         with fs.open_output_stream(f"{root}/.{name}.{attempt}") as out:
-            writer = Writer(out, width)
+            writer = Writer(out, encode.width)
             for batch in batches:
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
-                    writer.add(i, encode(t.as_py() or b"") + end)
+                texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.large_binary())]
+                for i, ids in zip(batch.column(0).to_pylist(), encode.batch(texts), strict=True):
+                    writer.add(i, ids + end)
             writer.finish()
         fs.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
         last = ident_of(writer.keys[-1]) if writer.keys else None
