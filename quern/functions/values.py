@@ -40,7 +40,7 @@ def tagged_map(entries: Column, key, value) -> Column:
 def object_fields(json: Column) -> Column:
     """Top-level fields of a JSON object in order as (key, raw): raw is null for a JSON null; other JSON gives null.
 
-    Of repeated keys the first value is taken; see :func:`repeated_keys`.
+    Numbers are rendered anew (1.50 as 1.5).  Of repeated keys one value is taken; see :func:`repeated_keys`.
     """
     keys = F.json_object_keys(json)
     values = F.from_json(json, "map<string,string>")

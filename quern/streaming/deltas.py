@@ -2,47 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUT = "response_id long, text string, n_frames long"
-STATE = "frames string, total long"
-#: A response whose end mark has not come so long after its last frame is given up.
-IDLE_MS = 600_000
-
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Holds a response's frames until all up to the end mark are there; then emits the text and forgets them."""
-    import json
-
-    if state.hasTimedOut:
-        state.remove()
-        return
-    frames, total = ({}, -1) if not state.exists else (json.loads(state.get[0]), state.get[1])
-    for batch in batches:
-        for i, data in zip(batch["frame_ix"].tolist(), batch["data"].tolist(), strict=True):
-            if data == "[DONE]":
-                total = i
-            else:
-                frames[str(i)] = data
-    if total >= 0 and all(str(i) in frames for i in range(total)):
-        parts = []
-        for i in range(total):
-            choices = json.loads(frames[str(i)]).get("choices") or [{}]
-            parts.append((choices[0].get("delta") or {}).get("content") or "")
-        state.remove()
-        yield pd.DataFrame({"response_id": [key[0]], "text": ["".join(parts)], "n_frames": [total + 1]})
-    else:
-        state.update((json.dumps(frames), total))
-        state.setTimeoutDuration(IDLE_MS)
+from pyspark.sql import functions as F
 
 
-def reassemble_stream(frames: DataFrame) -> DataFrame:
-    """Whole answers of a stream of frames (``response_id``, ``frame_ix``, ``data``); late and repeated frames are harmless.
+def reassemble_stream(frames: DataFrame, gap: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Answers of a stream of frames (``response_id``, ``frame_ix``, ``data``, event time ``at``).
 
-    Run it in append mode.  State is kept for open responses only.
+    Frames of a response that lie at most ``gap`` apart are one answer.  It is emitted once, in append mode, when the
+    watermark, ``delay`` behind the latest frame, has passed its end; later frames of it are dropped, as are frames sent twice.
+    State is kept for open answers only.  ``ended`` says whether the end mark came.
     """
-    return frames.groupBy("response_id").applyInPandasWithState(_fold, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    done = F.col("data") == "[DONE]"
+    content = F.get_json_object("data", "$.choices[0].delta.content")
+    rows = frames.withWatermark("at", delay).dropDuplicatesWithinWatermark(["response_id", "frame_ix"])
+    parts = F.sort_array(F.collect_list(F.when(~done & content.isNotNull(), F.struct("frame_ix", content.alias("c")))))
+    answers = rows.groupBy("response_id", F.session_window("at", gap)).agg(
+        parts.alias("p"), F.bool_or(done).alias("ended"), F.count(F.lit(1)).alias("n_frames")
+    )
+    text = F.array_join(F.transform("p", lambda x: x["c"]), "")
+    return answers.select("response_id", F.col("session_window.end").alias("closed_at"), text.alias("text"), "ended", "n_frames")

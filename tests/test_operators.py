@@ -1,0 +1,154 @@
+"""Small cases of the engine's own operators: line ends, level skips, wide characters, lost frames."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from quern.functions import limits, values
+from quern.operators import documents, protocols, transcripts
+from quern.sources import readers
+from quern.streaming import deltas
+
+
+def decode(text: str) -> list[tuple]:
+    """A plain version of block decoding, a line at a time, for texts without carriage returns."""
+    found, stack, held, at = [], [], None, 0
+    lines = text.split("\n")
+    for line in [*(lines if lines[-1] else lines[:-1]), ""]:
+        start, end = at, at + len(line.encode())
+        at = end + 1
+        bare = line.lstrip()
+        level = len(bare) - len(bare.lstrip("#"))
+        title = bare[level:].strip()
+        head = 1 <= level <= 6 and bare[level : level + 1].isspace() and title
+        if held and (head or not line.strip()):
+            found.append(("paragraph", text.encode()[held[0] : held[1]].decode(), *held, None))
+            held = None
+        if head:
+            del stack[level - 1 :]
+            stack.append(title)
+            found.append(("heading", title, start, end, list(stack), level))
+        elif line.strip():
+            held = (held[0], end, held[2]) if held else (start, end, list(stack))
+    return found
+
+
+DOCS = ["", "# Guide\n\nAlpha beta.\n\n## Detail\n\nGamma.\n", "### a\n### b\n# c\ntext\nmore\n\n\nlast", "#######x\n # ok \nno#\n", "éü\n\n# ñ\nß", "#\n# \n####### seven\n"]
+
+
+def test_blocks(spark):
+    rows = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
+    got = {}
+    for r in documents.blocks(rows).orderBy("doc_id", "block_ix").collect():
+        got.setdefault(r["doc_id"], []).append((r["kind"], r["text"], r["start"], r["end"], r["heading_path"], r["level"]))
+    for i, text in enumerate(DOCS):
+        assert got.get(i, []) == decode(text), text
+
+
+def test_blocks_carriage_returns(spark):
+    rows = spark.createDataFrame([(1, "# A\r\nx\r\ny\r\n\r\nz\r")], "doc_id long, text string")
+    got = [(r["kind"], r["text"], r["start"], r["end"]) for r in documents.blocks(rows).orderBy("block_ix").collect()]
+    assert got == [("heading", "A", 0, 3), ("paragraph", "x\r\ny", 5, 9), ("paragraph", "z\r", 13, 15)]
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 4, 7, 100])
+def test_windows(spark, most):
+    texts = ["abcdef", "é€😀x", "", "😀" * 5]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in documents.chunk_fixed(rows, most).orderBy("doc_id", "chunk_ix").collect():
+        got.setdefault(r["doc_id"], []).append((r["text"], r["start"], r["end"]))
+    for i, text in enumerate(texts):
+        data, at, expected = text.encode(), 0, []
+        while at < len(data):
+            to = min(at + most, len(data))
+            while at < to < len(data) and data[to] & 0xC0 == 0x80:
+                to -= 1
+            if to == at:
+                to = at + 1
+                while to < len(data) and data[to] & 0xC0 == 0x80:
+                    to += 1
+            expected.append((data[at:to].decode(), at, to))
+            at = to
+        assert got.get(i, []) == expected
+    assert documents.chunk_fixed(rows, 0).count() == 0
+
+
+def test_recursive_without_paragraphs(spark):
+    rows = spark.createDataFrame([(1, "# only a heading\n"), (2, "")], "doc_id long, text string")
+    got = documents.chunk_recursive(rows, 6).orderBy("chunk_ix").collect()
+    assert "".join(r["text"] for r in got) == "# only a heading\n" and {r["doc_id"] for r in got} == {1}
+    assert [r["text"] for r in documents.chunk_heading(rows).collect()] == ["# only a heading\n"]
+
+
+def test_limits(spark):
+    rows = spark.createDataFrame([("abc",), ("éé",), (None,)], "t string")
+    got = [r[0] for r in rows.select(limits.first_error(limits.input_bytes(F.col("t"), 3))).collect()]
+    assert got == [None, "decode input bytes limit exceeded: 4 > 3", None]
+
+
+def test_values(spark):
+    rows = spark.createDataFrame([('{"a":1.50,"b":"x","c":null,"d":true}',), ("[1]",), ("no",)], "j string")
+    got = rows.select(values.object_fields(F.col("j")).alias("f"), values.repeated_keys(F.col("j")).alias("r")).collect()
+    assert [(x["key"], x["raw"]) for x in got[0]["f"]] == [("a", "1.5"), ("b", "x"), ("c", None), ("d", "true")]
+    assert got[0]["r"] is False and got[1]["f"] is None and got[2]["r"] is None
+    tagged = spark.range(1).select(values.tagged_number(F.lit("1.50")), values.tagged_bytes(F.lit(b"\0" * 100)), values.quoted(F.lit('a"\n'))).first()
+    assert json.loads(tagged[0])["value"] == "1.50" and "\\r" not in tagged[1] and json.loads(tagged[2]) == 'a"\n'
+
+
+def test_requests(spark):
+    bodies = [
+        {"model": "m", "messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "q"}]},
+        {"messages": [{"role": "user", "content": "q"}]},
+        {"model": "m", "messages": []},
+        {"model": "m", "messages": [{"role": "assistant", "content": "q"}]},
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "i int, body string")
+    got = transcripts.decode_request(rows).orderBy("i").collect()
+    assert got[0]["task"] == "q" and got[0]["prior"][0]["role"] == "system" and got[0]["error"] is None
+    assert [r["error"] is not None for r in got] == [False, True, True, True]
+
+
+def test_usage_saturates(spark):
+    rows = spark.createDataFrame([(1, 2**63 - 1, 5)], "g int, input_tokens long, output_tokens long")
+    assert rows.select(transcripts.saturating_total(F.col("input_tokens"), F.col("output_tokens"))).first()[0] == 2**63 - 1
+
+
+def test_sse_frames(spark):
+    body = ": hi\nevent: a\ndata: 1\ndata: 2\n\nevent: b\n\ndata: 3\r\n\r\ndata: 4"
+    rows = spark.createDataFrame([(1, body)], "response_id long, body string")
+    got = [(r["event"], r["data"]) for r in readers.sse_frames(rows).orderBy("frame_ix").collect()]
+    assert got == [("a", "1\n2"), ("b", "3"), ("", "4")]
+
+
+def test_stream_of_deltas(spark, tmp_path):
+    answers = spark.createDataFrame([(1, "hello world"), (2, "é😀")], "response_id long, text string")
+    frames = transcripts.stream_frames(answers, 3)
+    assert {r["response_id"]: r["text"] for r in transcripts.reassemble(frames).collect()} == {1: "hello world", 2: "é😀"}
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("frame_ix"))
+    timed = frames.withColumn("at", at)
+    timed.where("frame_ix % 2 = 1").coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    timed.where("frame_ix % 3 < 2").coalesce(1).write.parquet(f"{tmp_path}/in/b")
+    timed.where("frame_ix % 2 = 0").coalesce(1).write.parquet(f"{tmp_path}/in/c")
+    late = timed.limit(1).select(F.lit(9).cast("long").alias("response_id"), "frame_ix", "data", F.timestamp_seconds(F.lit(1_800_000_000)).alias("at"))
+    late.write.parquet(f"{tmp_path}/in/d")
+    stream = spark.readStream.schema(timed.schema).parquet(f"{tmp_path}/in/*")
+    writer = deltas.reassemble_stream(stream).writeStream.format("memory").queryName("answers").outputMode("append")
+    writer.option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(120)
+    assert {r["response_id"]: (r["text"], r["ended"]) for r in spark.table("answers").collect()} == {1: ("hello world", True), 2: ("é😀", True)}
+
+
+def test_envelopes(spark):
+    wires = ['{"jsonrpc":"2.0","id":null,"method":"m"}', '{"jsonrpc":"2.0"}', "3", '{"jsonrpc":"2.0","id":{},"result":1}']
+    rows = spark.createDataFrame([(w,) for w in wires], "w string")
+    got = [r[0] for r in rows.select(protocols.classify_envelope(F.col("w"))).collect()]
+    assert got == ["request", "invalid: field combination", "invalid: not an object", "invalid: id"]
+
+
+def test_dangling(spark):
+    a = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int")
+    b = spark.createDataFrame([(1,)], "id int")
+    assert [tuple(r) for r in protocols.dangling(a, "k", b, "id", "x").collect()] == [("x", "2", 2)]
