@@ -269,7 +269,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
 
     ``folder`` is a URI that pyarrow and Spark both reach; ``tokenizer`` is a file that every executor has.  A null text is
     empty: its document holds only the end id.  Null identifiers come first.  Repeated rows are all written.  An empty table
-    gives one shard without documents or none.  A retried task replaces its own file whole.
+    gives no shard.  A retried task replaces its own file whole.
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(1, -(-size // SHARD_TEXT_BYTES))
@@ -348,6 +348,8 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 )
 
     spark = manifest.sparkSession
+    if manifest.isEmpty():
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("_start"))
     rows = _files(spark, folder).mapInArrow(read, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
