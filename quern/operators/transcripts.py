@@ -116,3 +116,36 @@ def usage_totals(rows: DataFrame, by: str) -> DataFrame:
     """Input, output and total tokens of each group; the total saturates.  ``rows`` has the two counters."""
     sums = rows.groupBy(by).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
     return sums.withColumn("total_tokens", saturating_total(F.col("input_tokens"), F.col("output_tokens")))
+
+
+#: Where the parts of an answer lie on each wire: text, stop reason, input and output tokens.
+ANSWERS = {
+    "openai": ("$.choices[0].message.content", "$.choices[0].finish_reason", "$.usage.prompt_tokens", "$.usage.completion_tokens"),
+    "anthropic": (None, "$.stop_reason", "$.usage.input_tokens", "$.usage.output_tokens"),
+    "ollama": ("$.message.content", "$.done_reason", "$.prompt_eval_count", "$.eval_count"),
+}
+
+
+def decode_response(rows: DataFrame, provider: Column) -> DataFrame:
+    """Text, stop reason, usage and error of an answer's ``body`` on the wire of its ``provider``.
+
+    The reason is ``stop`` where none is given.  A body with an ``error`` has only that: its message, its type, or itself.  Text blocks of
+    the messages wire are joined; the chat wire may have ``response`` in place of a message.  Unknown providers are errors.
+    """
+    at = lambda path: F.get_json_object("body", path)
+    blocks = F.filter(F.from_json(at("$.content"), "array<struct<type:string,text:string>>"), lambda b: b["type"] == "text")
+    pick = lambda i: F.coalesce(*[F.when(provider == p, at(paths[i])) for p, paths in ANSWERS.items() if paths[i]])
+    text = F.coalesce(pick(0), F.when(provider == "anthropic", F.array_join(F.transform(blocks, lambda b: b["text"]), "")), F.when(provider == "ollama", at("$.response")))
+    failed = F.coalesce(at("$.error.message"), at("$.error.type"), at("$.error"))
+    error = F.when(~F.coalesce(provider.isin(*ANSWERS), F.lit(False)), "unknown provider").when(failed.isNotNull(), failed).when(text.isNull(), "no text")
+    rows = rows.withColumns({"_text": text, "error": error, "_stop": F.coalesce(pick(1), F.lit("stop")), "_in": pick(2).cast("long"), "_out": pick(3).cast("long")})
+    ok = lambda c: F.when(F.col("error").isNull(), c)
+    return rows.withColumns(
+        {
+            "text": ok(F.col("_text")),
+            "stop_reason": F.when(F.col("error").isNull(), F.col("_stop")).otherwise("error"),
+            "input_tokens": ok(F.col("_in")),
+            "output_tokens": ok(F.col("_out")),
+            "total_tokens": ok(saturating_total(F.coalesce("_in", F.lit(0).cast("long")), F.coalesce("_out", F.lit(0).cast("long")))),
+        }
+    ).drop("_text", "_stop", "_in", "_out")

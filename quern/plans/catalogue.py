@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import limits, values
 from quern.operators import documents as docs_
-from quern.operators import protocols, transcripts
+from quern.operators import config, edits, protocols, transcripts
 
 FLAGSHIP = "doc_chunk_heading"
 FIXED, RECURSIVE, PIECE, MODEL = 256, 200, 7, "m1"
@@ -184,13 +184,48 @@ def symbol_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("s").cast("long").alias("n_symbols"), F.array_join("s", " ").alias("symbols"))
 
 
+def decode_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    provider = F.element_at(F.array(*[F.lit(p) for p in transcripts.ANSWERS]), (F.col("turn") % 3 + 1).cast("int"))
+    n = F.length("text")
+    text = F.col("text")
+    body = (
+        F.when(F.col("conv_id") % 5 == 0, F.to_json(F.struct(F.struct(F.lit("busy").alias("message")).alias("error"))))
+        .when(F.col("turn") % 3 == 0, F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("message"))).alias("choices"), F.struct(n.alias("completion_tokens")).alias("usage"))))
+        .when(F.col("turn") % 3 == 1, F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).alias("content"), F.lit("end_turn").alias("stop_reason"), F.struct(F.lit(3).alias("input_tokens"), n.alias("output_tokens")).alias("usage"))))
+        .otherwise(F.to_json(F.struct(text.alias("response"), n.alias("eval_count"))))
+    )
+    rows = turns.select("conv_id", "turn", provider.alias("provider"), body.alias("body"))
+    return transcripts.decode_response(rows, F.col("provider")).select("conv_id", "turn", "provider", "text", "stop_reason", "input_tokens", "output_tokens", "total_tokens", "error")
+
+
+def edit_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = docs_.blocks(_headed(spark, sf_dir)).select("doc_id", "block_ix", "text")
+    op = F.element_at(F.array(F.lit("replace"), F.lit("insert"), F.lit("delete")), (F.col("doc_id") % 3 + 1).cast("int"))
+    made = found.where("block_ix = 1").select("doc_id", op.alias("op"), F.col("block_ix").alias("at"), F.col("text").alias("old"), F.lit("new text").alias("new"))
+    made = made.withColumns({"old": F.when(F.col("op") != "insert", F.col("old")), "new": F.when(F.col("op") != "delete", F.col("new"))})
+    return edits.apply(edits.apply(found, made), edits.invert(made)).select("doc_id", "block_ix", "text", "error")
+
+
+def config_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.array(
+        F.concat(F.lit("[nation/"), F.col("n_nationkey"), F.lit("]")),
+        F.concat(F.lit('name = "'), F.col("n_name"), F.lit('"')),
+        F.concat(F.lit("region = "), F.col("n_regionkey")),
+        F.lit("# a comment"),
+        F.when(F.col("n_regionkey") == 0, "region = 1.5").when(F.col("n_regionkey") == 1, "name = true").otherwise("tags = [1, true]"),
+    )
+    texts = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.array_join(lines, "\n").alias("text"))
+    return config.settings(texts).select("doc_id", "section", "key", "kind", "value", "error")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         doc_blocks, doc_chunk_heading, doc_chunk_recursive, doc_chunk_fixed, doc_format_counts, doc_backend_catalog, md_to_typst, json_untagged,
         json_tagged, json_repeated_keys, base64_roundtrip, limits_filter, openai_request, anthropic_request, transcript_validate,
         sse_reassemble, usage_totals, provider_profiles, mcp_classify, bridge_profile, bridge_check_parts, bridge_legal_replies,
-        index_integrity, symbol_dictionary,
+        index_integrity, symbol_dictionary, decode_responses, edit_inverse, config_settings,
     )
 }
 
@@ -320,4 +355,15 @@ SELECT dialogue, intent FROM d, m WHERE CASE rule WHEN 'opens' THEN len(parents)
     ),
     "symbol_dictionary": """SELECT doc_id, len(s) AS n_symbols, array_to_string(s, ' ') AS symbols FROM (SELECT doc_id,
   list_sort(list_distinct(regexp_extract_all(text, '[^ \\t\\n]+'))) AS s FROM documents)""",
+    "decode_responses": """WITH a AS (SELECT conv_id, turn, text, conv_id % 5 = 0 AS bad, turn % 3 AS k FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, CASE k WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' ELSE 'ollama' END AS provider, CASE WHEN NOT bad THEN text END AS text,
+  CASE WHEN bad THEN 'error' WHEN k = 1 THEN 'end_turn' ELSE 'stop' END AS stop_reason, CASE WHEN NOT bad AND k = 1 THEN 3::BIGINT END AS input_tokens,
+  CASE WHEN NOT bad THEN length(text) END AS output_tokens, CASE WHEN NOT bad THEN length(text) + CASE WHEN k = 1 THEN 3 ELSE 0 END END AS total_tokens,
+  CASE WHEN bad THEN 'busy' END AS error FROM a""",
+    "edit_inverse": f"WITH RECURSIVE {_BLOCKS} SELECT doc_id, block_ix, text, NULL::VARCHAR AS error FROM blocks",
+    "config_settings": """WITH n AS (SELECT n_nationkey::BIGINT AS doc_id, 'nation/' || n_nationkey AS section, n_name, n_regionkey AS r FROM nation)
+SELECT doc_id, section, 'name' AS key, 'string' AS kind, '"' || n_name || '"' AS value, NULL::VARCHAR AS error FROM n
+UNION ALL SELECT doc_id, section, 'region', 'int', r::VARCHAR, NULL FROM n
+UNION ALL SELECT doc_id, section, CASE r WHEN 0 THEN 'region' WHEN 1 THEN 'name' ELSE 'tags' END, CASE r WHEN 0 THEN NULL WHEN 1 THEN 'bool' ELSE 'array' END,
+  CASE r WHEN 0 THEN '1.5' WHEN 1 THEN 'true' ELSE '[1, true]' END, CASE r WHEN 0 THEN 'no value of a known kind' WHEN 1 THEN 'key given twice' END FROM n""",
 }

@@ -152,3 +152,42 @@ def test_dangling(spark):
     a = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int")
     b = spark.createDataFrame([(1,)], "id int")
     assert [tuple(r) for r in protocols.dangling(a, "k", b, "id", "x").collect()] == [("x", "2", 2)]
+
+
+def test_edits(spark):
+    from quern.operators import edits
+
+    blocks = spark.createDataFrame([(d, i, f"b{i}") for d in range(8) for i in range(3)], "doc_id long, block_ix int, text string")
+    made = [(0, "replace", 1, "b1", "x"), (1, "insert", 3, None, "x"), (2, "delete", 0, "b0", None), (3, "replace", 1, "no", "x")]
+    made += [(4, "insert", 4, None, "x"), (5, "delete", 7, "b7", None), (6, "swap", 0, None, None), (9, "insert", 0, None, "x")]
+    e = spark.createDataFrame(made, edits.SCHEMA)
+    got: dict = {}
+    for r in edits.apply(blocks, e).orderBy("doc_id", "block_ix").collect():
+        got.setdefault(r["doc_id"], []).append((r["block_ix"], r["text"]))
+    same = [(0, "b0"), (1, "b1"), (2, "b2")]
+    assert got == {0: [(0, "b0"), (1, "x"), (2, "b2")], 1: [*same, (3, "x")], 2: [(0, "b1"), (1, "b2")], **dict.fromkeys((3, 4, 5, 6, 7), same), 9: [(0, "x")]}
+    errors = {r["doc_id"]: r["error"] for r in edits.apply(blocks, e).collect()}
+    assert errors[3] == "the old text differs" and errors[4] == "no such place" and errors[5] == "no such block" and errors[6] == "unknown edit swap"
+    back = edits.apply(edits.apply(blocks, e), edits.invert(e)).where("doc_id < 3")
+    assert sorted((r["doc_id"], r["block_ix"], r["text"]) for r in back.collect()) == [(d, i, f"b{i}") for d in range(3) for i in range(3)]
+
+
+def test_config(spark):
+    from quern.operators import config
+
+    text = '# c\ntop = 1\n[a]\nx = "q \\" r"\nx = 2\nd = 2020-01-01\nl = [1, "b", true]\nm = [1,]\n[[r]]\ny = 99999999999999999999\n[[r]]\ny = -5\n[a]\nnonsense\né = 1'
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [(r["section"], r["key"], r["kind"], r["error"]) for r in config.settings(rows).orderBy("line_ix").collect()]
+    assert got == [
+        ("", "top", "int", None),
+        ("a", "x", "string", None),
+        ("a", "x", "int", "key given twice"),
+        ("a", "d", None, "no value of a known kind"),
+        ("a", "l", "array", None),
+        ("a", "m", None, "no value of a known kind"),
+        ("r", "y", None, "no value of a known kind"),
+        ("r", "y", "int", None),
+        ("a", None, None, "section given twice"),
+        ("a", None, None, "neither section nor key"),
+        ("a", None, None, "not ASCII"),
+    ]
