@@ -20,6 +20,7 @@ partitioned, and a block receives no more than it names.  Back-off weights are j
 from __future__ import annotations
 
 import gc
+import time
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -293,9 +294,14 @@ def _evaluating(ones: Discounts, twos: Discounts):
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps: it does so when the driver has collected its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files of finished steps: it does so when the driver has collected its garbage.
+
+    Twice, since what the first collection finds in Python only lets go of its Java side then.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1.0)
 
 
 def katz_scores(docs: DataFrame, training: Column, text: str = "text", ident: str = "doc_id") -> DataFrame:

@@ -207,6 +207,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
+        if suffix:
+            self.is_end[[i for p, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if p.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.plain: dict[str, bytes] = {}
         ids = dict(zip(("Ab,", "ab", ",", "\u00c9b.", "\u00e9b", "."), self._ask(["Ab,", "ab", ",", "\u00c9b.", "\u00e9b", "."]), strict=True))
@@ -217,26 +221,43 @@ class Encoder:
         got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in got]
 
+    def _ask_plain(self, cores: list[str]) -> list[bytes]:
+        """Ids of words of letters, many in one text, cut after the pieces that end a word where the vocabulary marks these."""
+        if not self.is_end.any():
+            return self._ask(cores)
+        texts = [" ".join(cores[i : i + 64]) for i in range(0, len(cores), 64)]
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.array([i for e in got for i in e.ids], dtype=f"<u{self.width}")
+        stops = (np.nonzero(self.is_end[ids])[0] + 1) * self.width
+        if len(stops) != len(cores):
+            return self._ask(cores)
+        data, starts = ids.tobytes(), [0, *stops[:-1].tolist()]
+        return [data[a:z] for a, z in zip(starts, stops.tolist(), strict=True)]
+
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words not met before; those too long to remember are returned."""
-        parts, whole = [], []
-        for w in words:
-            text = w.decode()
+        # plain lists of strings: tuples in these loops would keep Python's collector busy
+        together = b"\n".join(words).decode()
+        cores, ends, cut, rest, whole = [], [], [], [], []
+        for w, text, low in zip(words, together.split("\n"), together.lower().split("\n"), strict=True):
             end = text[-1] if text[-1] in ",." else ""
-            core = text[: len(text) - len(end)]
-            if self.cuts and LATIN.fullmatch(core):
-                parts.append((w, core.lower(), end))
+            if self.cuts and LATIN.fullmatch(text, 0, len(text) - len(end)):
+                cut.append(w)
+                cores.append(low[:-1] if end else low)
+                ends.append(end)
             else:
-                whole.append((w, text))
-        new = list({core for _, core, _ in parts if core not in self.plain})
+                rest.append(w)
+                whole.append(text)
+        new = [core for core in set(cores) if core not in self.plain]
         if len(self.plain) + len(new) > REMEMBERED:
             self.plain.clear()
-            new = list({core for _, core, _ in parts})
-        self.plain.update(zip(new, self._ask(new), strict=True))
+            new = list(set(cores))
+        if new:
+            self.plain.update(zip(new, self._ask_plain(new), strict=True))
         extra: dict[bytes, bytes] = {}
-        for w, core, end in parts:
+        for w, core, end in zip(cut, cores, ends, strict=True):
             (self.known if len(w) <= LONGEST else extra)[w] = self.plain[core] + self.ends[end]
-        for (w, _), ids in zip(whole, self._ask([t for _, t in whole]), strict=True):
+        for w, ids in zip(rest, self._ask(whole), strict=True):
             (self.known if len(w) <= LONGEST else extra)[w] = ids
         return extra
 
