@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import limits, values
@@ -11,11 +11,14 @@ from quern.operators import config, edits, protocols, transcripts
 
 FLAGSHIP = "doc_chunk_heading"
 FIXED, RECURSIVE, PIECE, MODEL = 256, 200, 7, "m1"
-PATH = F.array_join("heading_path", " > ").alias("heading_path")
 
 BACKENDS = (("asciidoc", "AsciiDoc"), ("latex", "LaTeX"), ("markdown", "Markdown"), ("typst", "Typst"))
 
 
+def _path() -> Column:
+    return F.array_join("heading_path", " > ").alias("heading_path")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,15 +28,15 @@ def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_.blocks(_headed(spark, sf_dir)).select("doc_id", "block_ix", "kind", "text", "start", "end", PATH, "level")
+    return docs_.blocks(_headed(spark, sf_dir)).select("doc_id", "block_ix", "kind", "text", "start", "end", _path(), "level")
 
 
 def doc_chunk_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_.chunk_heading(_headed(spark, sf_dir)).select("doc_id", "chunk_ix", "text", "start", "end", PATH)
+    return docs_.chunk_heading(_headed(spark, sf_dir)).select("doc_id", "chunk_ix", "text", "start", "end", _path())
 
 
 def doc_chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_.chunk_recursive(_headed(spark, sf_dir), RECURSIVE).select("doc_id", "chunk_ix", "text", "start", "end", PATH)
+    return docs_.chunk_recursive(_headed(spark, sf_dir), RECURSIVE).select("doc_id", "chunk_ix", "text", "start", "end", _path())
 
 
 def doc_chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
