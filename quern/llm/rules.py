@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table, word_array
+from .common import table, word_array
 
 SYMBOLS = "#*$%&|<>"
 POSITION_BITS = 16
@@ -89,7 +89,8 @@ def measures(docs: DataFrame, text: str = "text", ident: str = "doc_id", carry:
     at = F.transform(twin, lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"))
     rows = rows.withColumn("_at", F.sort_array(F.coalesce(at, F.transform(twins, lambda x: x["p"]))))
     long = lambda c: c.cast("long")
-    return rows.select(
+    # through a generator of one row: a filter on a measure is otherwise moved below the projections, into every use of them
+    one = F.struct(
         "doc_id",
         *(["row"] if carry else []),
         long(F.col("_n")).alias("n_words"),
@@ -100,6 +101,7 @@ def measures(docs: DataFrame, text: str = "text", ident: str = "doc_id", carry:
         long(F.coalesce(_run_cover(F.col("_at")), F.lit(0))).alias("n_repeat_words"),
         long(F.col("_stop")).alias("n_stop_words"),
     )
+    return rows.select(F.inline(F.array(one)))
 
 
 def compile_rules(rules: tuple[Rule, ...]) -> dict[str, Column]:
@@ -129,13 +131,8 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass the base rule and all thresholds, with their columns.
-
-    The verdicts are stored before rows are filtered by them: a filter on a projection this deep is otherwise moved below it by the
-    optimizer, which then copies every measure into every place that uses it.
-    """
-    judged = judge(measures(docs, carry=True), rules).select("row", "kept")
-    return durable(judged, "rules-kept").where("kept").select("row.*")
+    """The rows of ``docs`` that pass the base rule and all thresholds, with their columns."""
+    return judge(measures(docs, carry=True), rules).where("kept").select("row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
