@@ -242,13 +242,15 @@ def encode(docs: DataFrame, model: str, text: str = "text", name: str = "ids") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(model)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            ids = list(m.batch(texts))
-            ends = np.cumsum([0, *map(len, ids)])
-            flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, name])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # a worker holds the ids of a few documents, not of a batch
+                batch = whole.slice(at, 256)
+                texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+                ids = list(m.batch(texts))
+                ends = np.cumsum([0, *map(len, ids)])
+                flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, name])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(run, schema)
