@@ -6,8 +6,10 @@ pair with a new member that is nearer than what its ends hold becomes a candidat
 best.  Rounds end when few edges change.
 
 For largest inner products the graph lives on a sphere: each vector gets one more component that makes all norms equal.  A query
-starts at its own node's neighbours, expands the nodes of its beam that it has not expanded yet, all at once, and ends when
-the beam no longer changes; scores in the search are exact, on the original vectors.
+starts at its own node's neighbours and at some nodes that are the same for all, expands the nodes of its beam that it has not
+expanded yet, along edges of either direction, all at once, and ends when the beam no longer changes; scores in the search are
+exact, on the original vectors.  Then a sample of the queries is compared with brute force: while too few of their nearest are
+found, all beams are doubled, more start nodes are added, and the search goes on.  A beam of all nodes starts at all of them.
 
 All steps are joins and windows on node identifiers; vectors travel to where they are compared, and no task needs
 more than the members of one node or leaf, or one slice of the vectors.
@@ -15,6 +17,7 @@ more than the members of one node or leaf, or one slice of the vectors.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -29,9 +32,11 @@ from .common import durable, table
 #: Edges of a node, reverse neighbours sampled in a round, candidates that a pair's end proposes in one meeting.
 EDGES, REVERSE, PROPOSE = 40, 40, 8
 #: Nodes of a leaf, leaf tables, and the share of changed edges below which rounds end.
-LEAF, TABLES, ENOUGH, ROUNDS = 800, 2, 0.05, 12
-#: Nodes that a query keeps in its beam, and nodes of a slice of the vectors.
+LEAF, TABLES, ENOUGH = 800, 2, 0.02
+#: Nodes that a query keeps in its beam at first, and nodes of a slice of the vectors.
 BEAM, SLICE = 80, 16_384
+#: Queries compared with brute force, and the mean recall below which beams are doubled.
+SAMPLE, TARGET = 256, 0.95
 SEED = 7
 
 
@@ -145,7 +150,7 @@ def build_graph(nodes: DataFrame, k: int = EDGES) -> DataFrame:
     met = leaf.join(sizes, ["t", "leaf"]).select(part.alias("at"), "node", F.lit(True).alias("fresh"), least.alias("least"), "g")
     found = met.repartition("at").sortWithinPartitions("at").mapInArrow(_meet(k), CANDIDATES)
     edges = durable(_best(found.withColumn("fresh", F.lit(True)), k), "nn-edges")
-    for turn in range(ROUNDS):
+    for turn in itertools.count():  # edges only get nearer, so rounds end
         some = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u", F.lit(turn))))
         back = edges.withColumn("_r", some).where(F.col("_r") <= REVERSE)
         sides = edges.select(F.col("u").alias("at"), F.col("v").alias("node"), "fresh").union(
@@ -177,32 +182,90 @@ def _scores(asked: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int = BEAM) -> DataFrame:
-    """The beam (``q``, ``v``, ``s``) of each query node in the column ``q``, itself included, by greedy search from its neighbours."""
+def _starts(nodes: DataFrame, beam: int) -> DataFrame:
+    """Start nodes of every query (``v``): the longest vectors and as many others, a beam of each."""
+    norm = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
+    longest = nodes.select(F.col("node").alias("v")).orderBy(norm.desc(), "v").limit(beam)
+    return longest.union(nodes.select(F.col("node").alias("v")).orderBy(F.xxhash64(F.lit(SEED), "v"), "v").limit(beam)).distinct()
+
+
+def _exact(names: np.ndarray, asked: np.ndarray, k: int):
+    """Of each sampled query the scores of its ``k`` nearest other nodes in one partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(names), 0), -np.inf)
+        for batch in batches:
+            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                s = asked @ np.array(part.column(1).to_pylist(), dtype=np.float64).T
+                s[names[:, None] == part.column(0).to_numpy()[None, :]] = -np.inf
+                best = np.concatenate([best, s], axis=1)
+                if best.shape[1] > k:
+                    best = np.partition(best, -k, axis=1)[:, -k:]
+        q, at = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(best[q, at])], ["q", "s"])
+
+    return run
+
+
+def _bars(vectors: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """A sample of the queries with the number of their ``k`` nearest (``want``) and the least score of these (``bar``), by brute force."""
+    sample = vectors.orderBy(F.xxhash64(F.lit(SEED), "q"), "q").limit(SAMPLE).collect()
+    names, asked = np.array([r["q"] for r in sample], dtype=np.int64), np.array([r["x"] for r in sample], dtype=np.float64)
+    exact = nodes.select("node", "x").mapInArrow(_exact(names, asked, k), "q long, s double") if sample else vectors.selectExpr("q", "0D AS s").limit(0)
+    exact = exact.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(F.col("_r") <= k)
+    return durable(exact.groupBy("q").agg(F.count(F.lit(1)).alias("want"), F.min("s").alias("bar")), "nn-bars")
+
+
+def _recall(beams: DataFrame, bars: DataFrame) -> float:
+    """Mean share of their nearest that the sampled queries have in their beams; 1 without any."""
+    near = beams.where("q <> v").join(F.broadcast(bars), "q").where(F.col("s") >= F.col("bar") - 1e-9 * F.abs("bar"))
+    found = near.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+    share = F.least(F.coalesce("n", F.lit(0)), F.col("want")) / F.col("want")
+    return bars.join(found, "q", "left").agg(F.coalesce(F.avg(share), F.lit(1.0))).first()[0]
+
+
+def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 20, beam: int | None = None) -> DataFrame:
+    """The beam (``q``, ``v``, ``s``) of each query node in the column ``q``, itself included, by greedy search from its neighbours.
+
+    Beams are as wide as a sample of the queries needs to have ``TARGET`` of its ``k`` nearest.
+    """
     n = nodes.count()
+    beam = max(beam or BEAM, k)
     slices = max(1, -(-n // SLICE))
     slice_of = lambda c: F.pmod(F.xxhash64(F.lit(SEED), c), F.lit(slices))
     stored = nodes.withColumn("slice", slice_of(F.col("node")))
-    around = durable(edges.groupBy(F.col("u").alias("v")).agg(F.collect_list("v").alias("near")), "nn-adjacency")  # k at most
+    some = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u", F.lit(SEED))))
+    back = edges.withColumn("_r", some).where(F.col("_r") <= REVERSE).select(F.col("v").alias("u"), F.col("u").alias("v"))
+    both = edges.select("u", "v").union(back)
+    around = durable(both.groupBy(F.col("u").alias("v")).agg(F.collect_set("v").alias("near")), "nn-adjacency")  # k and REVERSE at most
     vectors = durable(queries.join(nodes, F.col("q") == F.col("node")).select("q", "x"), "nn-queries")
+    bars = _bars(vectors, nodes, k)
     order = Window.partitionBy("q").orderBy(F.desc("s"), "v")
     front = vectors.select("q", F.col("q").alias("v"))
-    seen = None
+    seen, starts = None, _starts(nodes, beam)
     while True:
         new = front.join(around, "v").select("q", F.explode("near").alias("v"))
+        if starts is not None:
+            new = new.union(vectors.select("q").crossJoin(F.broadcast(starts)))
         if seen is None:
             new = new.union(front).distinct()
         else:
             new = new.distinct().join(seen.select("q", "v"), ["q", "v"], "left_anti")
-        asked = new.groupBy("q", slice_of(F.col("v")).alias("slice")).agg(F.collect_list("v").alias("nodes"))  # of one query: a beam times k at most
+        asked = new.groupBy("q", slice_of(F.col("v")).alias("slice")).agg(F.collect_list("v").alias("nodes"))  # of one query: its front's edges and the starts at most
         asked = asked.join(vectors, "q")
         scored = asked.groupBy("slice").cogroup(stored.groupBy("slice")).applyInPandas(_scores, "q long, v long, s double")
         scored = scored.withColumn("done", F.lit(False))
         ranked = (scored if seen is None else seen.unionByName(scored)).withColumn("r", F.row_number().over(order))
-        seen = durable(ranked, "nn-beam")
-        front = seen.where((F.col("r") <= beam) & ~F.col("done") & (F.col("q") != F.col("v"))).select("q", "v")
+        # what ranks beyond two beams cannot come back into one; met again, it is scored again
+        seen = durable(ranked.where(F.col("r") <= 2 * beam), "nn-beam")
+        front, starts = seen.where((F.col("r") <= beam) & ~F.col("done") & (F.col("q") != F.col("v"))).select("q", "v"), None
         if front.isEmpty():
-            return seen.where(F.col("r") <= beam + 1).select("q", "v", "s")
+            beams = seen.where(F.col("r") <= beam + 1).select("q", "v", "s")
+            if beam >= n or _recall(beams, bars) >= TARGET:
+                return beams
+            seen = seen.withColumn("done", F.col("done") | (F.col("r") <= beam))
+            beam *= 2
+            front, starts = seen.where((F.col("r") <= beam) & ~F.col("done") & (F.col("q") != F.col("v"))).select("q", "v"), _starts(nodes, beam)
         seen = seen.withColumn("done", F.col("done") | (F.col("r") <= beam)).drop("r")
 
 
@@ -217,7 +280,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     members = members.distinct()
     asking = members.where(F.col("vec_id") % every == 0)
     edges = build_graph(nodes)
-    beams = search(asking.select(F.col("node").alias("q")).distinct(), nodes, edges)
+    beams = search(asking.select(F.col("node").alias("q")).distinct(), nodes, edges, k)
     # of equal vectors the k + 1 least identifiers can be among a query's k nearest
     first = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))
     few = members.withColumn("_r", first).where(F.col("_r") <= k + 1).select(F.col("node").alias("v"), "vec_id")

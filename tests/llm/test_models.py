@@ -53,6 +53,24 @@ def test_equal_and_unfit_vectors(spark):
     assert [r["vec_id"] for r in nndescent.nearest(rows.where("vec_id in (0, 1, 2)")).orderBy("rank").collect()] == [1, 2]
 
 
+def found_share(rows: list, ids: list[int], x: np.ndarray, every: int, k: int) -> float:
+    expected, got = plain_nearest(ids, x, every, k), {}
+    for r in rows:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    return np.mean([len(got[q] & set(expected[q])) / k for q in expected])
+
+
+def test_search_goes_on_until_enough_is_found(spark):
+    """The graph is of two parts without an edge between them, so half of the nearest cannot be reached from a query's own node."""
+    x = np.random.default_rng(11).normal(size=(600, 16))
+    near = [[j for j in np.argsort(-(x @ x[i])).tolist() if j != i and j % 2 == i % 2][:10] for i in range(len(x))]
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, x array<double>")
+    edges = spark.createDataFrame([(i, j, float(x[i] @ x[j])) for i in range(len(x)) for j in near[i]], "u long, v long, s float")
+    beams = nndescent.search(nodes.where("node % 10 = 0").selectExpr("node AS q"), nodes, edges).where("q <> v")
+    best = beams.selectExpr("q AS query_id", "v AS vec_id", "row_number() OVER (PARTITION BY q ORDER BY s DESC) AS r").where("r <= 20").collect()
+    assert found_share(best, list(range(len(x))), x, 10, 20) >= 0.9
+
+
 def test_classifier(spark):
     docs = spark.read.parquet(f"{LABELLED}/documents.parquet").select("doc_id", "text")
     model = classifier.quality_model(spark, LABELLED)
