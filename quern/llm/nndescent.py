@@ -5,7 +5,8 @@ pattern under random planes.  Then, round by round, the neighbours and a bounded
 pair with a new member that is nearer than what its ends hold becomes a candidate edge; every node keeps its ``k``
 best.  Rounds end when few edges change.
 
-For largest inner products the graph lives on a sphere: each vector gets one more component that makes all norms equal.  A query
+The graph joins nodes of near direction, whatever their norms; the search ranks by inner product, and its start nodes include
+the longest vectors, which every query may want.  A query
 starts at its own node's neighbours and at some nodes that are the same for all, expands the nodes of its beam that it has not
 expanded yet, along edges of either direction, all at once, and ends when the beam no longer changes; scores in the search are
 exact, on the original vectors.  Then a sample of the queries is compared with brute force: while too few of their nearest are
@@ -60,14 +61,15 @@ def _matrix(column: pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(data, dtype=dtype).reshape(len(column), -1)
 
 
-def _sphere(radius: float, planes: np.ndarray):
-    """Each node's vector on the sphere in half precision, and its leaf in each table."""
+def _sphere(planes: np.ndarray):
+    """Each node's direction in single precision, and its leaf in each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1) / radius
-            g = np.column_stack([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))]).astype(np.float16)
-            bits = g.astype(np.float32) @ planes > 0
+            x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
+            x = x / np.abs(x).max(axis=1, keepdims=True, initial=0.0)  # squares of very large or small components stay finite
+            g = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+            bits = g @ planes > 0
             leaves = [(bits[:, t::TABLES] @ (1 << np.arange(bits[:, t::TABLES].shape[1]))).tolist() for t in range(TABLES)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r.tobytes() for r in g], pa.binary()), pa.array(list(zip(*leaves, strict=True)), pa.list_(pa.int64()))],
@@ -82,7 +84,6 @@ def _meet(propose: int):
 
     def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         node, fresh, least, g = (np.concatenate(x) for x in zip(*rows, strict=True))
-        g = g.astype(np.float32)
         s = g @ g.T
         np.fill_diagonal(s, -9.0)
         s[~(fresh[:, None] | fresh[None, :])] = -9.0
@@ -108,7 +109,7 @@ def _meet(propose: int):
             if not batch.num_rows:
                 continue
             at = batch.column(0).to_numpy()
-            whole = (batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(), _matrix(batch.column(4), np.float16))
+            whole = (batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(), _matrix(batch.column(4), np.float32))
             cuts = [0, *(np.nonzero(at[1:] != at[:-1])[0] + 1).tolist(), len(at)]
             for a, z in zip(cuts, cuts[1:], strict=False):
                 if held and last != at[a]:
@@ -137,12 +138,11 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
 
 def build_graph(nodes: DataFrame, k: int = EDGES) -> DataFrame:
     """Edges (``u``, ``v``, ``s``) from each node to its nearest found; ``nodes`` is a stored table."""
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
-    size = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("r"), F.max(F.size("x")).alias("d")).first()
+    size = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
     n = size["n"]
     bits = max(0, math.ceil(math.log2(max(1, n) / LEAF)))
-    planes = np.random.default_rng(SEED).normal(size=((size["d"] or 0) + 1, bits * TABLES)).astype(np.float32)
-    placed = durable(nodes.mapInArrow(_sphere(size["r"] or 1.0, planes), "node long, g binary, leaves array<long>"), "nn-sphere")
+    planes = np.random.default_rng(SEED).normal(size=(size["d"] or 0, bits * TABLES)).astype(np.float32)
+    placed = durable(nodes.mapInArrow(_sphere(planes), "node long, g binary, leaves array<long>"), "nn-sphere")
     least = F.lit(-8.0).cast("float")
     leaf = placed.select("node", "g", F.posexplode("leaves").alias("t", "leaf"))
     sizes = leaf.groupBy("t", "leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * LEAF)).alias("parts"))

@@ -71,6 +71,18 @@ def test_search_goes_on_until_enough_is_found(spark):
     assert found_share(best, list(range(len(x))), x, 10, 20) >= 0.9
 
 
+def test_recall_of_unequal_norms(spark, monkeypatch):
+    """Norms from 0.5 to 1.5, and one vector that is far longer than all."""
+    monkeypatch.setattr(nndescent, "LEAF", 200)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 64))
+    x *= (rng.uniform(0.5, 1.5, len(x)) / np.linalg.norm(x, axis=1))[:, None]
+    x[77] *= 50 / np.linalg.norm(x[77])
+    x = x.astype(np.float32).astype(np.float64)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert found_share(nndescent.nearest(rows).collect(), list(range(len(x))), x, 20, 20) >= 0.9
+
+
 def test_classifier(spark):
     docs = spark.read.parquet(f"{LABELLED}/documents.parquet").select("doc_id", "text")
     model = classifier.quality_model(spark, LABELLED)
