@@ -150,6 +150,14 @@ def linked(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "a long, b long")
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """The distinct fingerprints of stored rows (``doc_id``, ``fp``), the least identifier of each and its component's ``root``."""
+    prints = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
+    roots = connected_components(linked(prints), "simhash")
+    named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return durable(named.select("fp", "least", "root"), "simhash-named")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """Identifier, ``fingerprint`` and ``component_id`` of every row: the least identifier that links reach.
 
@@ -158,20 +166,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     An empty table gives an empty result; other columns take no part.
     """
     rows = durable(docs.select(F.col(ident).alias("doc_id"), fingerprints(F.col(text)).alias("fp")), "simhash-rows")
-    prints = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
-    roots = connected_components(linked(prints), "simhash")
-    named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = durable(named.select("fp", "least", "root"), "simhash-named")
+    named = _named(rows)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = named.join(ids, "root").select("fp", "component_id")
     return rows.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document of the least identifier of each group, with all columns; exact repeats of a row stay once."""
-    groups = near_duplicates(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group, with all columns: that of the least identifier, null last, and of its texts that of the least hash."""
+    hashed = F.xxhash64("text")
+    rows = durable(docs.select("doc_id", fingerprints(F.col("text")).alias("fp"), hashed.alias("hash")), "simhash-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    first = rows.join(_named(rows).select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("m"))
+    first = first.select(F.col("m.doc_id").alias("_keep"), F.col("m.hash").alias("_hash"))
+    found = F.col("doc_id").eqNullSafe(F.col("_keep")) & (hashed == F.col("_hash"))
+    return docs.join(first, found, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,14 @@ def test_near_duplicates(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_group(spark):
+    """Groups are known by their rows, also where identifiers are null or shared."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    rows = spark.createDataFrame([(None, a), (None, b), (5, b), (7, b), (9, c), (9, c.upper()), (9, c)], "doc_id long, text string")
+    got = [(r["doc_id"], r["text"].lower()) for r in simhash.keep_one(rows).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (5, b), (9, c)], key=str)
+
+
 def test_chains_of_links(spark, monkeypatch):
     """Fingerprints at random small distances, also where buckets are cut into tiles and where five blocks are used."""
     rng = np.random.default_rng(3)
