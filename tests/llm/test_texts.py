@@ -175,36 +175,48 @@ def test_viterbi(spark, tmp_path):
     assert got == {"▁" + w: sp.encode(w) for w in words}
 
 
-def test_katz(docs, none):
-    rows = katz.katz_scores(docs, F.col("doc_id") % 4 != 1).collect()
+@pytest.mark.parametrize(("order", "block", "span"), [(2, 1 << 20, 1 << 20), (2, 500, 300), (3, 500, 300), (4, 1 << 20, 1000), (1, 500, 300)])
+def test_katz(docs, none, monkeypatch, order, block, span):
+    """Scores of every row against a plain model, also over many blocks and hash ranges."""
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(katz, "RANGE_TOKENS", span)
+    rows = katz.katz_scores(docs, F.col("doc_id") % 4 != 1, order=order).collect()
     tokens = [((d["doc_id"]), [*(d["text"] or "").translate(LOWER).encode().split(), b""]) for d in docs.collect()]
-    train = [t for i, t in tokens if i is not None and i % 4 != 1]
-    c = Counter(w for t in train for w in t)
-    pairs = Counter(p for t in train for p in zip([b"", *t], t))
+    padded = [(i, [b""] * (order - 1) + t) for i, t in tokens]
+    train = [t for i, t in padded if i is not None and i % 4 != 1]
+    grams = [Counter(tuple(t[j - n + 1 : j + 1]) for t in train for j in range(order - 1, len(t))) for n in range(1, order + 1)]
+    after = [Counter(tuple(t[j - n : j]) for t in train for j in range(order - 1, len(t))) for n in range(order)]
 
     def stats(n: Counter) -> np.ndarray:
         return np.append(np.bincount(np.minimum(list(n.values()), katz.CUT + 2), minlength=katz.CUT + 3), [sum(n.values()), len(n)])
 
-    one, two = katz.discounts(stats(c)), katz.discounts(stats(pairs))
-    cut = lambda d, n: d.of[min(n, katz.CUT + 1)] * n
-    p = lambda w: cut(one, c[w]) / one.tokens if c[w] else one.free
-    after = defaultdict(list)
-    for (h, w), n in pairs.items():
-        after[h].append((w, n))
-    alpha = {h: (1 - sum(cut(two, n) / (c[h] + 0.5) for _, n in x)) / (1 - sum(p(w) for w, _ in x)) for h, x in after.items()}
-
-    def probability(h: bytes, w: bytes) -> float:
-        n = pairs.get((h, w), 0)
-        return cut(two, n) / (c[h] + 0.5) if n else alpha.get(h, 1.0) * p(w)
-
-    for h in list(after)[:20]:  # the model is normalised
-        assert abs(sum(probability(h, w) for w in c) + alpha[h] * one.free - 1) < 1e-9
-    n, v = sum(c.values()), len(c)
+    models = [katz.discounts(stats(g)) for g in grams]
+    follow: dict = defaultdict(list)
+    for g in grams[1:]:
+        for x in g:
+            follow[x[:-1]].append(x)
+
+    def seen(x: tuple) -> float:
+        n, d = grams[len(x) - 1][x], models[len(x) - 1]
+        return d.of[min(n, katz.CUT + 1)] * n / (d.tokens if len(x) == 1 else after[len(x) - 1][x[:-1]] + 0.5)
+
+    alpha = {h: (1 - sum(map(seen, xs))) / (1 - sum(seen(x[1:]) for x in xs)) for h, xs in follow.items()}
+
+    def probability(x: tuple) -> float:
+        if grams[len(x) - 1][x]:
+            return seen(x)
+        return models[0].free if len(x) == 1 else alpha.get(x[:-1], 1.0) * probability(x[1:])
+
+    for h in list(follow)[:20] + list(follow)[-20:]:  # the model is normalised
+        rest = math.prod(alpha[h[k:]] for k in range(len(h))) * models[0].free
+        assert abs(sum(probability((*h, *w)) for w in grams[0]) + rest - 1) < 1e-9
+    c, n, v = grams[0], sum(grams[0].values()), len(grams[0])
     expected = Counter()
-    for i, t in tokens:
-        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-        score = sum(math.log10(probability(h, w)) for h, w in zip([b"", *t], t))
-        expected[(i, i is None or i % 4 == 1, len(t), sum(c[w] > 0 for w in t), n, f"{base:.5f}", f"{score:.5f}")] += 1
+    for i, t in padded:
+        own = t[order - 1 :]
+        base = sum(math.log10((c[(w,)] + 0.5) / (n + 0.5 * (v + 1))) for w in own)
+        score = sum(math.log10(probability(tuple(t[j - order + 1 : j + 1]))) for j in range(order - 1, len(t)))
+        expected[(i, i is None or i % 4 == 1, len(own), sum(c[(w,)] > 0 for w in own), n, f"{base:.5f}", f"{score:.5f}")] += 1
     assert expected == Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], f"{r['base_score']:.5f}", f"{r['score']:.5f}") for r in rows)
-    assert katz.katz_scores(none, F.lit(True)).count() == 0
-    assert {r["score"] for r in katz.katz_scores(docs.limit(3), F.lit(False)).collect()} == {0.0}
+    assert katz.katz_scores(none, F.lit(True), order=order).count() == 0
+    assert {r["score"] for r in katz.katz_scores(docs.limit(3), F.lit(False), order=order).collect()} == {0.0}
