@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+import os
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -17,6 +21,7 @@ from tokenizers import Tokenizer
 from quern.llm import katz, pieces, simhash, sstable, tagpaths
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -101,6 +106,16 @@ PAGES = {
     "<p>a<b>c<script>if(a<b)x</script>d <!-- x --> e < f": "acd e < f",
     "<article><p>x</p><div style='display: none'>y</div><p hidden>z</p></article>": "x",
     "<" * 2000: "<" * 2000,
+    # names that say what an element has beside it, headings and paragraphs of an article, and formulas are content
+    "<div class='content has-sidebar'><h1>Head</h1><p>real article</p></div>": "Head real article",
+    "<article><h2 id='share-prices'>Share prices</h2><p class='notice'>They fell, again.</p><math><mi>x</mi></math></article>": "Share prices They fell, again. x",
+    "<div id='page-wrap' class='page-banner with-nav'><h1>Head</h1><p>All the text, here.</p></div><div class='cookie-note'>We use cookies</div>": "Head All the text, here.",
+    "<div class='comments'><main><p>The text.</p></main></div><div class='comments'><article><p>nice!</p></article></div>": "The text.",
+    "<form id='page'><nav>a b</nav><h1>Head</h1><p>The page is a form, as some are.</p><fieldset><p>Mail</p></fieldset></form>": "Head The page is a form, as some are.",
+    "<p>before</p><!-- never closed <p>after</p>": "before",
+    "<p>a</p><!-- open": "a",
+    "<div role=main><p>t</p></div><div role=complementary><p>s</p></div>": "t",
+    "<table><tr><td><p>a<table><tr><td>b</table><td>c</table>": "a b c",
 }
 
 
@@ -109,6 +124,84 @@ def test_main_text(spark):
     got = tagpaths.extract(rows).orderBy("page_id").collect()
     assert [r["text"] for r in got] == [*PAGES.values(), ""]
     assert [r["n_chars"] for r in got] == [len(r["text"]) for r in got]
+    assert tagpaths.extract(rows.limit(0)).count() == 0
+    more = tagpaths.extract(rows.selectExpr("page_id", "html", "1 AS text", "2 AS page", "3 AS whole", "4 AS row"))
+    assert more.columns == ["page_id", "html", "page", "whole", "row", "text", "n_chars"] and more.count() == rows.count()
+
+
+class PlainPage(HTMLParser):
+    """Blocks of a page without broken markup, by the standard library's parser."""
+
+    def __init__(self, page: str):
+        super().__init__()
+        self.stack, self.blocks, self.text, self.linked, self.link = [], [], "", 0, False
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        text = " ".join(self.text.split())
+        if text and not any(t in tagpaths.NEVER or t in tagpaths.RAW or (t == "header" and "article" not in [x for x, _ in self.stack[:i]]) for i, (t, _) in enumerate(self.stack)):
+            depth = next((i + 1 for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] not in tagpaths.INNER), 0)
+            self.blocks.append((tuple(self.stack), tuple(self.stack[:depth]), text, max(0, len(text) - self.linked)))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.link = True
+        elif tag in ("br", "hr"):
+            self.text += " "
+        elif tag in tagpaths.BLOCK or tag in tagpaths.RAW:
+            if "p" in [x for x, _ in self.stack] and tag in tagpaths.BLOCK:
+                self.handle_endtag("p")
+            self.flush()
+            self.stack.append((tag, dict(attrs).get("class") or ""))
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.link = False
+        elif tag in [x for x, _ in self.stack]:
+            self.flush()
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.text += data
+        self.linked += len(data) if self.link else 0
+
+    def main_text(self) -> str:
+        whole = sum(b[3] for b in self.blocks) or 1
+        inside = lambda b: any(t == "article" for t, _ in b[0])
+        factor = lambda b: math.prod(0.0005 for t, c in b[0] if c == "ad" or t == "form")
+
+        def ratio(of: list) -> float:
+            chars = sum(b[3] for b in of)
+            return chars / len(of) * math.sqrt(1 + sum(len(re.findall("[.,;:!?¿¡…。、，！？；：]", b[2])) for b in of) / len(of)) * chars / whole
+
+        score = {}
+        for b in self.blocks:
+            own = [x for x in self.blocks if x[0] == b[0]]
+            box = [x for x in self.blocks if ((inside(x) and inside(b)) or (x[1] == b[1] and inside(x) == inside(b))) and factor(x) == factor(b)]
+            score[b[0]] = (ratio(own) + ratio(box)) / 2 * (25 if inside(b) else 1) * factor(b)
+            if factor(b) < 1 and 2 * sum(x[3] for x in box) < whole:
+                score[b[0]] = -1
+        return " ".join(b[2] for b in self.blocks if 0 <= score[b[0]] >= max(score.values()) * 0.02)
+
+
+def test_main_text_of_all_pages(spark):
+    """Against plain sums over the blocks of another parser, for whole pages."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    for r in tagpaths.extract(pages).collect():
+        assert r["text"] == PlainPage(r["html"] or "").main_text(), r["page_id"]
+
+
+def test_main_text_takes_time_in_proportion():
+    heads = "".join(f"<h2 id='h{i}' class='c{i}'>Head {i}</h2><p>Text of {i}, yes.</p>" for i in range(5000))
+    deep = ["<div>" * 20000 + "x", "<div>x" * 20000, "<li>a" * 20000, "<p>x</p></section>" * 20000, "<a " * 50000, '<a "' * 5000 + ">"]
+    began = time.process_time()
+    for page in [f"<article>{heads}</article>", *deep]:
+        tagpaths.Scanner(page).row()
+    assert time.process_time() - began < 20
 
 
 def test_token_shards(spark, docs, none, tmp_path):
