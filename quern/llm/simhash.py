@@ -3,7 +3,8 @@
 Fingerprints that differ in at most three bits are linked.  Only distinct fingerprints are compared.  Two of them can be linked
 only if they agree in all but three of the blocks that the 64 bits are cut into, so each fingerprint goes to one bucket for
 each choice of the agreeing blocks, and linked pairs always meet in a bucket.  Inside a bucket the pivot table decides: the Hamming
-distances of each fingerprint to sixteen reference fingerprints, worked out once.  By the triangle inequality the tables of a
+distances of each fingerprint to sixteen reference fingerprints, worked out once for each distinct fingerprint, stored, and carried into
+its buckets.  By the triangle inequality the tables of a
 linked pair differ by at most three in every coordinate.  The bucket is sorted by the first coordinate, pairs further
 apart than three there are never formed, those that differ by more in another coordinate are discarded, and the survivors are
 verified.  A bucket of many fingerprints is cut into tiles in which every two of its members still meet.
@@ -19,6 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,12 +67,20 @@ def fingerprints(texts: pa.Array) -> pa.Array:
     return pa.array(out.view(np.int64))
 
 
-def _forest(bucket: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among fingerprints of equal bucket, as pairs of fingerprints."""
-    first = np.bitwise_count(prints ^ PIVOTS[0])
-    order = np.lexsort((first, bucket))
-    bucket, prints, first = bucket[order], prints[order], first[order].astype(np.int16)
-    pivot = np.bitwise_count(prints[:, None] ^ PIVOTS[None, 1:]).astype(np.int8)
+@F.arrow_udf(T.BinaryType())
+def pivot_distances(prints: pa.Array) -> pa.Array:
+    """Hamming distances of each fingerprint to the reference fingerprints, a byte each."""
+    x = prints.to_numpy(zero_copy_only=False).view(np.uint64)
+    rows = np.bitwise_count(x[:, None] ^ PIVOTS[None, :]).astype(np.uint8)
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def _forest(bucket: np.ndarray, prints: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among fingerprints of equal bucket, as pairs of fingerprints; ``table`` has their pivot distances."""
+    order = np.lexsort((table[:, 0], bucket))
+    bucket, prints = bucket[order], prints[order]
+    pivot = table[order].astype(np.int8)
+    first = pivot[:, 0].astype(np.int16)
     parent = np.arange(len(prints))
 
     def find(x: int) -> int:
@@ -101,25 +111,27 @@ def _forest(bucket: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within buckets; the partition comes sorted by bucket, and only the bucket at its end is carried over."""
-    kept: list[np.ndarray] = []
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def emit(rows: np.ndarray) -> pa.RecordBatch:
-        a, b = _forest(rows[0].view(np.int64), rows[1])
+    def emit(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        whole, tables = np.concatenate([r for r, _ in rows], axis=1), np.concatenate([x for _, x in rows])
+        a, b = _forest(whole[0].view(np.int64), whole[1], tables)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     for batch in batches:
         rows = np.stack([batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64)])
         if not rows.shape[1]:
             continue
+        tables = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(-1, len(PIVOTS))
         start = int(np.argmax(rows[0] == rows[0][-1]))
-        if kept and (start or kept[0][0][0] != rows[0][-1]):
-            yield emit(np.concatenate([*kept, rows[:, :start]], axis=1))
+        if kept and (start or kept[0][0][0][0] != rows[0][-1]):
+            yield emit([*kept, (rows[:, :start], tables[:start])])
             kept = []
         elif start:
-            yield emit(rows[:, :start])
-        kept.append(rows[:, start:])
+            yield emit([(rows[:, :start], tables[:start])])
+        kept.append((rows[:, start:], tables[start:]))
     if kept:
-        yield emit(np.concatenate(kept, axis=1))
+        yield emit(kept)
 
 
 def _masks(n: int) -> list[int]:
@@ -132,10 +144,10 @@ def _masks(n: int) -> list[int]:
 
 
 def linked(prints: DataFrame) -> DataFrame:
-    """Spanning links (``a``, ``b``) among the distinct fingerprints in the column ``fp``; ``prints`` is a stored table."""
+    """Spanning links (``a``, ``b``) among the distinct fingerprints ``fp`` with their ``pivots``; ``prints`` is a stored table."""
     masks = _masks(prints.count())
     keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]))
-    keyed = prints.select("fp", keys.alias("bucket"))
+    keyed = prints.select("fp", "pivots", keys.alias("bucket"))
     large = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
     large = durable(large.select("bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "simhash-large")
     if large.isEmpty():
@@ -145,14 +157,15 @@ def linked(prints: DataFrame) -> DataFrame:
         others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("own"))
         tiles = F.transform(others, lambda j: F.xxhash64("bucket", F.least(j, F.col("own")), F.greatest(j, F.col("own"))))
         tiled = keyed.join(large, "bucket", "left").withColumn("own", own)
-        tiled = tiled.select("fp", F.explode(F.when(F.col("parts").isNull(), F.array("bucket")).otherwise(tiles)).alias("bucket"))
-    dealt = tiled.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket")
+        tiled = tiled.select("fp", "pivots", F.explode(F.when(F.col("parts").isNull(), F.array("bucket")).otherwise(tiles)).alias("bucket"))
+    dealt = tiled.select("bucket", "fp", "pivots").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_links, "a long, b long")
 
 
 def _named(rows: DataFrame) -> DataFrame:
     """The distinct fingerprints of stored rows (``doc_id``, ``fp``), the least identifier of each and its component's ``root``."""
-    prints = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    prints = durable(least.withColumn("pivots", pivot_distances(F.col("fp"))), "simhash-prints")
     roots = connected_components(linked(prints), "simhash")
     named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return durable(named.select("fp", "least", "root"), "simhash-named")
@@ -172,15 +185,31 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     return rows.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all columns: that of the least identifier, null last, and of its texts that of the least hash."""
-    hashed = F.xxhash64("text")
-    rows = durable(docs.select("doc_id", fingerprints(F.col("text")).alias("fp"), hashed.alias("hash")), "simhash-rows")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    first = rows.join(_named(rows).select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("m"))
-    first = first.select(F.col("m.doc_id").alias("_keep"), F.col("m.hash").alias("_hash"))
-    found = F.col("doc_id").eqNullSafe(F.col("_keep")) & (hashed == F.col("_hash"))
-    return docs.join(first, found, "left_semi").dropDuplicates(["doc_id", "text"])
+def _with_place(docs: DataFrame) -> DataFrame:
+    """``docs`` as stored files, with each row's place in them: the hash of a file's path, and the row's number there."""
+    file, row = F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    try:
+        return docs.select("*", file, row)
+    except AnalysisException:  # no table of files
+        return durable(docs, "simhash-docs").select("*", file, row)
+
+
+def keep_one(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """One row of each near-duplicate group, with all its columns: that of the least identifier, null last.
+
+    Of rows that share the least identifier, or have none, the first by its place in the stored files is kept, so neither null nor repeated
+    identifiers nor repeated rows leave two of a group.  An empty table gives an empty result.  Only fingerprints, identifiers and places are
+    shuffled: the rows to leave out are an anti-join, which Spark broadcasts while their table is small, and sorts by place beyond.
+    The names ``_file`` and ``_row`` must be free.
+    """
+    placed = _with_place(docs)
+    rows = placed.select(F.col(ident).alias("doc_id"), fingerprints(F.col(text)).alias("fp"), "_file", "_row")
+    rows = durable(rows, "simhash-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_file", "_row")
+    kept = rows.join(_named(rows).select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("m"))
+    kept = durable(kept.select("m._file", "m._row"), "simhash-kept")
+    rest = durable(rows.select("_file", "_row").join(kept, ["_file", "_row"], "left_anti"), "simhash-rest")
+    return placed.join(rest, ["_file", "_row"], "left_anti").select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,13 @@ def test_one_row_of_each_group(spark):
     rows = spark.createDataFrame([(None, a), (None, b), (5, b), (7, b), (9, c), (9, c.upper()), (9, c)], "doc_id long, text string")
     got = [(r["doc_id"], r["text"].lower()) for r in simhash.keep_one(rows).collect()]
     assert sorted(got, key=str) == sorted([(None, a), (5, b), (9, c)], key=str)
+    rows = spark.createDataFrame([(1, a), (None, a), (None, b), (None, b), (3, c), (3, c), (3, a + " more")], "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(rows).collect()]
+    near = (plain_print(a) ^ plain_print(a + " more")).bit_count() <= 3
+    assert sorted(got, key=str) == sorted([(1, a), (None, b), (3, c)] + ([] if near else [(3, a + " more")]), key=str)
+    assert simhash.keep_one(rows.limit(0)).count() == 0 and simhash.keep_one(rows.withColumn("root", F.lit(1))).columns == ["doc_id", "text", "root"]
+    plan = simhash.keep_one(spark.read.parquet(f"{SMALL}/documents.parquet"))._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan.split("== Physical Plan ==")[1]
 
 
 def test_chains_of_links(spark, monkeypatch):
@@ -80,7 +87,7 @@ def test_chains_of_links(spark, monkeypatch):
     x = sorted(set(x))
     label = plain_groups(x)
     signed = [v - (1 << 64) if v >> 63 else v for v in x]
-    rows = spark.createDataFrame([(v,) for v in signed], "fp long")
+    rows = spark.createDataFrame([(v,) for v in signed], "fp long").withColumn("pivots", simhash.pivot_distances(F.col("fp")))
     expected = defaultdict(set)
     for v, g in zip(signed, label, strict=True):
         expected[g].add(v)
