@@ -38,13 +38,23 @@ def tagged_map(entries: Column, key, value) -> Column:
 
 
 def object_fields(json: Column) -> Column:
-    """Top-level fields of a JSON object in order as (key, raw): raw is null for a JSON null; other JSON gives null.
+    """Top-level fields of a JSON object in order as (key, raw, domain): raw is the value's text, null for a JSON null; other JSON gives null.
 
-    Numbers are rendered anew (1.50 as 1.5).  Of repeated keys one value is taken; see :func:`repeated_keys`.
+    ``domain`` is ``number bool nil string list map``, from the value's type, so a string of digits is a string.  Numbers of up to 38 digits keep
+    them all (1.50 is written 1.5).  An object that names a key twice gives null; see :func:`repeated_keys`.
     """
     keys = F.json_object_keys(json)
-    values = F.from_json(json, "map<string,string>")
-    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(values, k).alias("raw")))
+    values = F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>")
+
+    def one(k: Column) -> Column:
+        v = F.element_at(values, k)
+        schema = F.schema_of_variant(v)
+        kind = F.when(schema == "STRING", "string").when(schema == "BOOLEAN", "bool").when(schema == "VOID", "nil")
+        kind = kind.when(F.startswith(schema, F.lit("OBJECT")), "map").when(F.startswith(schema, F.lit("ARRAY")), "list").otherwise("number")
+        raw = F.when(kind == "string", F.try_variant_get(v, "$", "string")).when(kind != "nil", F.to_json(v))
+        return F.struct(k.alias("key"), raw.alias("raw"), kind.alias("domain"))
+
+    return F.when(values.isNotNull(), F.transform(keys, one))
 
 
 def repeated_keys(json: Column) -> Column:
@@ -53,16 +63,6 @@ def repeated_keys(json: Column) -> Column:
     return F.size(keys) != F.size(F.array_distinct(keys))
 
 
-def number_domain(raw: Column) -> Column:
-    """The domain of a raw JSON scalar: number, bool or null as JSON has them, else string."""
-    return (
-        F.when(raw.isNull(), "nil")
-        .when(raw.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), "number")
-        .when(raw.isin("true", "false"), "bool")
-        .otherwise("string")
-    )
-
-
 def symbol_dictionary(words: Column) -> Column:
     """Distinct symbols of a value in canonical order: what a frame's side table holds."""
     return F.array_sort(F.array_distinct(words))

@@ -35,7 +35,7 @@ def settings(texts: DataFrame) -> DataFrame:
     name = F.coalesce("many", "head")
     upto = Window.partitionBy("doc_id").orderBy("line_ix")
     number = F.sum(name.isNotNull().cast("int")).over(upto)
-    rows = rows.withColumns({"name": name, "section": F.coalesce(F.last(name, ignorenulls=True).over(upto), F.lit("")), "section_ix": number})
+    rows = rows.withColumns({"name": name, "section": F.coalesce(F.last(name, ignorenulls=True).over(upto), F.lit("")), "section_ix": number, "repeated": F.coalesce(F.last(F.when(name.isNotNull(), F.col("many").isNotNull()), ignorenulls=True).over(upto), F.lit(False))})
     kind = (
         F.when(F.col("value").rlike(rf"^{STRING}$"), "string")
         .when(F.col("value").isin("true", "false"), "bool")
@@ -53,4 +53,21 @@ def settings(texts: DataFrame) -> DataFrame:
         .when(F.col("head").isNotNull() & again, "section given twice")
     )
     rows = rows.withColumn("error", error)
-    return rows.where("key is not null or error is not null").select("doc_id", "line_ix", "section", "section_ix", "key", "kind", "value", "error")
+    return rows.where("key is not null or error is not null").select("doc_id", "line_ix", "section", "section_ix", "repeated", "key", "kind", "value", "error")
+
+
+def encode(found: DataFrame) -> DataFrame:
+    """Texts of settings without errors, as :func:`settings` gives them: each section's head before its first key, repeated ones in double brackets.
+
+    Comments and empty sections are not kept.  Reading the text again gives the same settings.
+    """
+    row = F.struct("line_ix", "section", "section_ix", "repeated", "key", "value")
+    docs = found.where("error is null").groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("s"))
+
+    def line(x, i):
+        pair = F.concat(x["key"], F.lit(" = "), x["value"])
+        head = F.when(x["repeated"], F.concat(F.lit("[["), x["section"], F.lit("]]"))).otherwise(F.concat(F.lit("["), x["section"], F.lit("]")))
+        new = (x["section_ix"] > 0) & ((i == 0) | (x["section_ix"] != F.get("s", i - 1)["section_ix"]))
+        return F.when(new, F.concat(head, F.lit("\n"), pair)).otherwise(pair)
+
+    return docs.select("doc_id", F.concat(F.array_join(F.transform("s", line), "\n"), F.lit("\n")).alias("text"))

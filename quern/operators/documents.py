@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: what Typst reads as markup inside a text.
+TYPST_MARKUP = r"([#*_`$@<>\\])"
 HEADING = r"(?sU)^\s*(#{1,6})\s+(\S.*?)\s*$"
 
 
@@ -156,9 +158,9 @@ def format_of(docs: DataFrame) -> DataFrame:
 
 
 def markdown_to_typst(found: DataFrame) -> DataFrame:
-    """Blocks rendered for Typst, one document a row: headings by level, paragraphs as they are with number signs escaped."""
-    head = F.concat(F.repeat(F.lit("="), F.col("level")), F.lit(" "), F.col("text"))
-    text = F.when(F.col("kind") == "heading", head).otherwise(F.regexp_replace("text", "#", r"\\\\#"))
+    """Blocks rendered for Typst, one document a row: headings by level, and texts with the characters escaped that Typst reads as markup."""
+    body = F.regexp_replace("text", TYPST_MARKUP, r"\\$1")
+    text = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("="), F.col("level")), F.lit(" "), body)).otherwise(body)
     rows = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_ix", text.alias("t")))).alias("b"), F.count(F.lit(1)).alias("n_blocks"))
     body = F.concat(F.array_join(F.transform("b", lambda x: x["t"]), "\n\n"), F.lit("\n"))
     return rows.select("doc_id", body.alias("typst"), "n_blocks")

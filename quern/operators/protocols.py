@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.json import keys_at, kind_at, parsed, string_at
+from quern.functions.values import quoted, repeated_keys
+
 # The standard moves with what they may answer, and the parts they require.
 MOVES = (
     # intent, rule, answers, required part, any of these parts, ends the dialogue
@@ -22,8 +25,10 @@ MOVES = (
     ("error", "any", (), "Receipt", (), True),
 )
 # Profiles as patterns over the initials of part kinds.
-PART_LETTERS = {"Given": "G", "Frame": "F", "Return": "R", "Call": "C", "Weave": "W"}
-PROFILES = (("ask", "^G*F*C+R$"), ("brief", "^G*F+R?$"), ("loom", "^G*F*W+R$"))
+PART_LETTERS = {"Given": "G", "Frame": "F", "Return": "R", "Call": "C", "Weave": "W", "Evidence": "E", "Review": "V", "Vote": "O", "Patch": "P", "Receipt": "T", "Attest": "A"}
+#: Parts by which collaborators answer each other.
+COLLAB = ("Evidence", "Review", "Vote", "Patch", "Receipt", "Attest")
+PROFILES = (("ask", "^G*F*C+R$"), ("brief", "^G*F+R?$"), ("collab", "^[EVOPTA]+$"), ("loom", "^G*F*W+R$"))
 
 ENVELOPES = (
     # kind, fields it must have, fields it may have besides
@@ -78,31 +83,65 @@ def matching_profiles(kinds: Column) -> Column:
     return F.filter(F.array(*[F.when(letters.rlike(p), F.lit(n)) for n, p in PROFILES]), lambda x: x.isNotNull())
 
 
-def classify_envelope(json: Column) -> Column:
-    """Kind of a JSON-RPC envelope, or ``invalid: `` and the first reason.
+def envelope(json: Column) -> Column:
+    """A JSON-RPC envelope as (``kind``, ``id``, ``method``, ``body``, ``code``, ``message``).
 
-    Which of method, id, result and error are present decides the kind; other fields, a field named twice, another
-    version, or an id that is neither string, number nor null make an envelope invalid.
+    Which of method, id, result and error are present decides the kind; the kind is ``invalid: `` and the first reason where the version is not the
+    string 2.0, a field is unknown or named twice, an id is neither string, number nor null, a method no string, or an error no map of an integer
+    ``code``, a string ``message`` and perhaps ``data``.  ``id`` is JSON; ``body`` is the JSON of params, result or the error's data.
     """
-    keys = F.json_object_keys(json)
-    has = lambda k: F.array_contains(keys, k)
+    v = parsed(json)
+    keys = keys_at(v)
     owned = ("method", "id", "result", "error")
+    of = {k: F.coalesce(F.array_contains(keys, k), F.lit(False)) for k in owned}
+    bad_id = of["id"] & ~kind_at(v, "$.id").isin("string", "number", "nil")
+    bad_method = of["method"] & (kind_at(v, "$.method") != "string")
+    error_keys = keys_at(v, "$.error")
+    bad_error = (
+        F.when(error_keys.isNull(), "error is no object")
+        .when(F.size(F.array_except(error_keys, F.array(*[F.lit(x) for x in ("code", "message", "data")]))) > 0, "error has an unknown field")
+        .when(~F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.error.code", "variant")) == "BIGINT", F.lit(False)), "error code is no integer")
+        .when(~kind_at(v, "$.error.message").eqNullSafe("string"), "error message is no string")
+    )
     kind = None
     for name, must, may in ENVELOPES:
-        present = [has(k) if k in must else ~has(k) for k in owned]
+        present = [of[k] if k in must else ~of[k] for k in owned]
         extra = F.size(F.array_except(keys, F.array(*[F.lit(x) for x in ("jsonrpc", *must, *may)]))) > 0
-        value = F.when(extra, f"invalid: {name} has an unknown field").otherwise(name)
+        value = F.when(extra, f"invalid: {name} has an unknown field").when(bad_id, "invalid: id").when(bad_method, "invalid: method")
+        if name == "error":
+            value = value.when(bad_error.isNotNull(), F.concat(F.lit("invalid: "), bad_error))
         test = reduce(lambda a, b: a & b, present)
-        kind = F.when(test, value) if kind is None else kind.when(test, value)
-    identifier = F.regexp_extract(json, r'"id"\s*:\s*(true|false|\{|\[)', 1)
-    return (
-        F.when(F.regexp_like(json, F.lit(r"^\s*\[")), "invalid: batch")
-        .when(keys.isNull(), "invalid: not an object")
-        .when(F.size(keys) != F.size(F.array_distinct(keys)), "invalid: a field is named twice")
-        .when(~F.coalesce(F.get_json_object(json, "$.jsonrpc"), F.lit("")).eqNullSafe("2.0"), "invalid: version")
-        .when(identifier != "", "invalid: id")
-        .otherwise(kind.otherwise("invalid: field combination"))
+        kind = F.when(test, value.otherwise(name)) if kind is None else kind.when(test, value.otherwise(name))
+    first = (
+        F.when(repeated_keys(json), "invalid: a field is named twice")
+        .when(v.isNull(), "invalid: no JSON, or a field of a field is named twice")
+        .when(kind_at(v) == "list", "invalid: batch")
+        .when(kind_at(v) != "map", "invalid: not an object")
+        .when(~string_at(v, "$.jsonrpc").eqNullSafe("2.0"), "invalid: version")
+    )
+    kind = first.otherwise(kind.otherwise("invalid: field combination"))
+    ok = ~F.startswith(kind, F.lit("invalid"))
+    part = lambda path: F.to_json(F.try_variant_get(v, path, "variant"))
+    body = F.coalesce(part("$.params"), part("$.result"), part("$.error.data"))
+    fields = {"id": part("$.id"), "method": string_at(v, "$.method"), "body": body, "code": F.try_variant_get(v, "$.error.code", "long"), "message": string_at(v, "$.error.message")}
+    return F.struct(kind.alias("kind"), *[F.when(ok, c).alias(k) for k, c in fields.items()])
+
+
+def classify_envelope(json: Column) -> Column:
+    """The kind of :func:`envelope`."""
+    return envelope(json)["kind"]
+
+
+def envelope_json(e: Column) -> Column:
+    """The JSON of an :func:`envelope`, fields in the order of the protocol; null for an invalid one."""
+    body = F.coalesce(e["body"], F.lit("null"))
+    tail = (
+        F.when(e["kind"] == "request", F.concat(F.lit(',"id":'), e["id"], F.lit(',"method":'), quoted(e["method"]), F.lit(',"params":'), body))
+        .when(e["kind"] == "notification", F.concat(F.lit(',"method":'), quoted(e["method"]), F.lit(',"params":'), body))
+        .when(e["kind"] == "response", F.concat(F.lit(',"id":'), e["id"], F.lit(',"result":'), body))
+        .when(e["kind"] == "error", F.concat(F.lit(',"id":'), e["id"], F.lit(',"error":{"code":'), e["code"].cast("string"), F.lit(',"message":'), quoted(e["message"]), F.lit(',"data":'), body, F.lit("}")))
     )
+    return F.concat(F.lit('{"jsonrpc":"2.0"'), tail, F.lit("}"))
 
 
 def dangling(records: DataFrame, key: str, targets: DataFrame, target: str, label: str) -> DataFrame:

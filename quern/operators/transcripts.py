@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.json import items_at, parsed, string_at
+
+from .records import content_text
+
 PART = "struct<type:string,text:string>"
 MESSAGES = "array<struct<role:string,content:string>>"
 LONG_MAX = 9223372036854775807
@@ -48,10 +52,11 @@ def ollama_request(rows: DataFrame, model: str) -> DataFrame:
 def decode_request(rows: DataFrame, provider: str = "openai") -> DataFrame:
     """Model, task, prior messages and error of a request body: the last message is the task and must be the user's.
 
-    ``rows`` has ``body``.  With an error the other fields are null.
+    ``rows`` has ``body``.  A content is a text or a list of parts, whose texts are joined.  With an error the other fields are null.
     """
-    parsed = F.from_json("body", f"model string, system string, messages {MESSAGES}")
-    rows = rows.withColumn("_r", parsed)
+    v = parsed(F.col("body"))
+    messages = F.transform(items_at(v, "$.messages"), lambda m: F.struct(string_at(m, "$.role").alias("role"), content_text(m, "$.content").alias("content")))
+    rows = rows.withColumn("_r", F.struct(string_at(v, "$.model").alias("model"), content_text(v, "$.system").alias("system"), messages.alias("messages")))
     n = F.coalesce(F.size("_r.messages"), F.lit(0))
     last = F.get("_r.messages", n - 1)
     error = (

@@ -9,10 +9,14 @@ from quern.functions import limits, values
 from quern.operators import documents as docs_
 from quern.operators import config, edits, protocols, transcripts
 
+from . import wires
+
 FLAGSHIP = "doc_chunk_heading"
 FIXED, RECURSIVE, PIECE, MODEL = 256, 200, 7, "m1"
 
-BACKENDS = (("asciidoc", "AsciiDoc"), ("latex", "LaTeX"), ("markdown", "Markdown"), ("typst", "Typst"))
+# Markup backends that read and write, that lie outside, and that are known by name only.
+BACKENDS = {"implemented": ("asciidoc", "latex", "markdown", "typst"), "external-candidate": ("texinfo",),
+            "tracked": ("bbcode", "creole", "djot", "myst", "org", "rest", "textile", "wikitext")}
 
 
 def _path() -> Column:
@@ -49,16 +53,18 @@ def doc_format_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_backend_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(BACKENDS), "backend string, title string")
+    rows = [(b, status, status == "implemented") for status, names in BACKENDS.items() for b in names]
+    return spark.createDataFrame(rows, "backend string, status string, works boolean").select("backend", "status", F.col("works").alias("can_read"), F.col("works").alias("can_write"))
 
 
 def md_to_typst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_.markdown_to_typst(docs_.blocks(_headed(spark, sf_dir)))
+    marked = _headed(spark, sf_dir).withColumn("text", F.replace(F.col("text"), F.lit("the "), F.lit("the #1 *a* _b_ `c` $d @e <f> \\ ")))
+    return docs_.markdown_to_typst(docs_.blocks(marked))
 
 
 def json_untagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "events").select("event_id", F.explode(values.object_fields(F.col("props"))).alias("f"))
-    return rows.select("event_id", "f.key", values.number_domain(F.col("f.raw")).alias("domain"), F.col("f.raw").alias("canonical"))
+    return rows.select("event_id", "f.key", "f.domain", F.col("f.raw").alias("canonical"))
 
 
 def json_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +145,7 @@ def mcp_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", protocols.classify_envelope(F.col("wire")).alias("kind"))
 
 
-KINDS = ("Given", "Frame", "Call", "Return", "Given", "Weave", "Return")
+KINDS = ("Given", "Frame", "Call", "Return", "Given", "Weave", "Return", "Review", "Vote", "Patch", "Receipt")
 
 
 def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,23 +209,42 @@ def decode_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, made = _edits(spark, sf_dir)
+    return edits.apply(edits.apply(found, made), edits.invert(made)).select("doc_id", "block_ix", "text", "error")
+
+
+def edit_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, made = _edits(spark, sf_dir)
+    return edits.apply(found, made).select("doc_id", "block_ix", "text", "dirty", "error")
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks, and one edit of each document: its block 0, 1 or 2 is replaced or deleted, or one is inserted there; some have the wrong old text."""
     found = docs_.blocks(_headed(spark, sf_dir)).select("doc_id", "block_ix", "text")
     op = F.element_at(F.array(F.lit("replace"), F.lit("insert"), F.lit("delete")), (F.col("doc_id") % 3 + 1).cast("int"))
-    made = found.where("block_ix = 1").select("doc_id", op.alias("op"), F.col("block_ix").alias("at"), F.col("text").alias("old"), F.lit("new text").alias("new"))
-    made = made.withColumns({"old": F.when(F.col("op") != "insert", F.col("old")), "new": F.when(F.col("op") != "delete", F.col("new"))})
-    return edits.apply(edits.apply(found, made), edits.invert(made)).select("doc_id", "block_ix", "text", "error")
+    made = found.where("block_ix = floor(doc_id / 3) % 3").select("doc_id", op.alias("op"), F.col("block_ix").alias("at"), F.col("text").alias("old"), F.lit("new text").alias("new"))
+    old = F.when(F.col("doc_id") % 10 == 9, "another text").otherwise(F.col("old"))
+    made = made.withColumns({"old": F.when(F.col("op") != "insert", old), "new": F.when(F.col("op") != "delete", F.col("new"))})
+    return found, made
+
+
+def config_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return config.encode(config.settings(_config_texts(spark, sf_dir)))
 
 
 def config_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return config.settings(_config_texts(spark, sf_dir)).select("doc_id", "section", "key", "kind", "value", "error")
+
+
+def _config_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.array(
-        F.concat(F.lit("[nation/"), F.col("n_nationkey"), F.lit("]")),
-        F.concat(F.lit('name = "'), F.col("n_name"), F.lit('"')),
-        F.concat(F.lit("region = "), F.col("n_regionkey")),
+        F.concat(F.lit("[customer/"), F.col("c_custkey"), F.lit("]")),
+        F.concat(F.lit('name = "'), F.col("c_name"), F.lit('"')),
+        F.concat(F.lit("nation = "), F.col("c_nationkey")),
         F.lit("# a comment"),
-        F.when(F.col("n_regionkey") == 0, "region = 1.5").when(F.col("n_regionkey") == 1, "name = true").otherwise("tags = [1, true]"),
+        F.when(F.col("c_nationkey") % 5 == 0, "nation = 1.5").when(F.col("c_nationkey") % 5 == 1, "name = true").otherwise("tags = [1, true]"),
     )
-    texts = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.array_join(lines, "\n").alias("text"))
-    return config.settings(texts).select("doc_id", "section", "key", "kind", "value", "error")
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.array_join(lines, "\n").alias("text"))
 
 
 QUERIES = {
@@ -228,9 +253,10 @@ QUERIES = {
         doc_blocks, doc_chunk_heading, doc_chunk_recursive, doc_chunk_fixed, doc_format_counts, doc_backend_catalog, md_to_typst, json_untagged,
         json_tagged, json_repeated_keys, base64_roundtrip, limits_filter, openai_request, anthropic_request, transcript_validate,
         sse_reassemble, usage_totals, provider_profiles, mcp_classify, bridge_profile, bridge_check_parts, bridge_legal_replies,
-        index_integrity, symbol_dictionary, decode_responses, edit_inverse, config_settings,
+        index_integrity, symbol_dictionary, decode_responses, edit_inverse, edit_apply, config_settings, config_encode,
     )
 }
+QUERIES |= wires.QUERIES
 
 _DOCS = """docs AS (SELECT conv_id AS doc_id, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg(t, '' ORDER BY turn, t) AS text
   FROM (SELECT conv_id, turn, '## ' || coalesce(role, '') || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10) AS t FROM conversations)
@@ -257,6 +283,11 @@ blocks AS (SELECT f.doc_id, (row_number() OVER (PARTITION BY f.doc_id ORDER BY f
   CASE WHEN kind = 'heading' THEN level::INT END AS level FROM found f LEFT JOIN paths p ON p.doc_id = f.doc_id AND p.section = f.section)"""
 
 
+_MARKED = _BLOCKS.replace("docs AS (SELECT conv_id AS doc_id, '# Conversation", "docs AS (SELECT doc_id, replace(text, 'the ', 'the #1 *a* _b_ `c` $d @e <f> \\ ') AS text FROM (SELECT conv_id AS doc_id, '# Conversation").replace(
+    "  GROUP BY conv_id)", "  GROUP BY conv_id))"
+)
+
+
 def _windows(most: int, rows: str) -> str:
     """CTEs that cut ``rows`` (id, base, path, text) into byte windows: cut (id, base, path, text, a, b)."""
     return f"""chars AS (SELECT id, base, path, text, regexp_extract_all(text, '(?s).') AS cs FROM {rows}),
@@ -282,8 +313,8 @@ def _dangling(t: str, key: str, target: str, to: str, label: str) -> str:
   AND {key} NOT IN (SELECT {to} FROM {target}) GROUP BY {key}"""
 
 
-_PACKETS = f"""packets AS (SELECT event_id // 3 AS packet, list({_cases("event_id % 7", KINDS)} ORDER BY event_id) AS parts FROM events GROUP BY event_id // 3),
-lettered AS (SELECT packet, parts, array_to_string(list_transform(parts, lambda k: left(k, 1)), '') AS letters FROM packets)"""
+_PACKETS = f"""packets AS (SELECT event_id // 3 AS packet, list({_cases("event_id % 11", KINDS)} ORDER BY event_id) AS parts FROM events GROUP BY event_id // 3),
+lettered AS (SELECT packet, parts, array_to_string(list_transform(parts, lambda k: CASE k WHEN 'Review' THEN 'V' WHEN 'Vote' THEN 'O' WHEN 'Receipt' THEN 'T' ELSE left(k, 1) END), '') AS letters FROM packets)"""
 _HAS = "list_contains(ks, '{}')".format
 
 ORACLES = {
@@ -300,9 +331,13 @@ src AS (SELECT doc_id AS id, start AS base, heading_path AS path, text FROM bloc
 {_windows(FIXED, "src")} SELECT id AS doc_id, (row_number() OVER (PARTITION BY id ORDER BY start) - 1)::INT AS chunk_ix, text, start, stop AS "end" FROM texts""",
     "doc_format_counts": f"""WITH {_DOCS}, every_ AS (SELECT text FROM documents UNION ALL SELECT text FROM docs)
 SELECT CASE WHEN regexp_matches(coalesce(text, ''), '(?m)^[ \\t]*#{{1,6}}[ \\t]+\\S') THEN 'markdown' ELSE 'text' END AS format, count(*) AS n FROM every_ GROUP BY 1""",
-    "doc_backend_catalog": "SELECT * FROM (VALUES " + ", ".join(str(x) for x in BACKENDS) + ") AS t(backend, title)",
-    "md_to_typst": f"""WITH RECURSIVE {_BLOCKS} SELECT doc_id, string_agg(CASE WHEN kind = 'heading' THEN repeat('=', level) || ' ' || text
-  ELSE replace(text, '#', '\\#') END, chr(10) || chr(10) ORDER BY block_ix) || chr(10) AS typst, count(*) AS n_blocks FROM blocks GROUP BY doc_id""",
+    "doc_backend_catalog": """SELECT b AS backend, CASE WHEN b IN ('asciidoc', 'latex', 'markdown', 'typst') THEN 'implemented' WHEN b = 'texinfo' THEN 'external-candidate' ELSE 'tracked' END AS status,
+  b IN ('asciidoc', 'latex', 'markdown', 'typst') AS can_read, b IN ('asciidoc', 'latex', 'markdown', 'typst') AS can_write
+  FROM (SELECT unnest(['asciidoc', 'bbcode', 'creole', 'djot', 'latex', 'markdown', 'myst', 'org', 'rest', 'texinfo', 'textile', 'typst', 'wikitext']) AS b)""",
+    "md_to_typst": f"""WITH RECURSIVE {_MARKED}, escaped AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '\\', '\\\\'), '#', '\\#'), '*', '\\*'), '_', '\\_'),
+  '`', '\\`'), '$', '\\$'), '@', '\\@'), '<', '\\<'), '>', '\\>') AS safe FROM blocks)
+  SELECT doc_id, string_agg(CASE WHEN kind = 'heading' THEN repeat('=', level) || ' ' || safe ELSE safe END, chr(10) || chr(10) ORDER BY block_ix) || chr(10) AS typst,
+  count(*) AS n_blocks FROM escaped GROUP BY doc_id""",
     "json_untagged": """SELECT event_id, key, 'number' AS domain, json_extract_string(props, '$.' || key) AS canonical
 FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)""",
     "json_tagged": """SELECT event_id, '{"$expr":"map","entries":[{"key":"k","value":{"$expr":"number","domain":"numbers/f64","value":"'
@@ -323,7 +358,8 @@ SELECT conv_id, 'openai' AS provider, CASE WHEN last_role = 'user' THEN '{MODEL}
   ((length(text) + {PIECE - 1}) // {PIECE} + 2) AS n_frames FROM conversations WHERE role = 'assistant'""",
     "usage_totals": """SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN 0 ELSE length(text) END)::BIGINT AS input_tokens,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS output_tokens, sum(length(text))::BIGINT AS total_tokens FROM conversations GROUP BY conv_id""",
-    "provider_profiles": "SELECT * FROM (VALUES " + ", ".join(str(x) for x in transcripts.PROFILES) + ") AS t(provider, request_wire, stream_wire)",
+    "provider_profiles": """SELECT * FROM (VALUES ('openai', 'chat-completions', 'sse'), ('anthropic', 'messages', 'sse'), ('ollama', 'chat', 'ndjson'),
+  ('lm-studio', 'chat-completions', 'sse'), ('lemonade', 'chat-completions', 'sse')) AS t(provider, request_wire, stream_wire)""",
     "mcp_classify": f"""WITH w AS (SELECT event_id, {_cases(f"event_id % {len(ENVELOPES)}", ENVELOPES)} AS wire FROM events),
 k AS (SELECT event_id, wire, CASE WHEN wire LIKE '[%' THEN NULL ELSE json_keys(wire) END AS ks FROM w)
 SELECT event_id, CASE WHEN ks IS NULL THEN 'invalid: batch' WHEN len(ks) <> len(list_distinct(ks)) THEN 'invalid: a field is named twice'
@@ -335,6 +371,7 @@ SELECT event_id, CASE WHEN ks IS NULL THEN 'invalid: batch' WHEN len(ks) <> len(
   WHEN {_HAS("id")} AND {_HAS("error")} AND NOT {_HAS("method")} AND NOT {_HAS("result")} THEN 'error' ELSE 'invalid: field combination' END AS kind FROM k""",
     "bridge_profile": f"""WITH {_PACKETS} SELECT packet, letters, array_to_string(list_filter([
   CASE WHEN regexp_matches(letters, '^G*F*C+R$') THEN 'ask' END, CASE WHEN regexp_matches(letters, '^G*F+R?$') THEN 'brief' END,
+  CASE WHEN parts[1] IN ('Review', 'Vote', 'Patch', 'Receipt') AND parts[len(parts)] IN ('Review', 'Vote', 'Patch', 'Receipt') AND (len(parts) < 3 OR parts[2] IN ('Review', 'Vote', 'Patch', 'Receipt')) THEN 'collab' END,
   CASE WHEN regexp_matches(letters, '^G*F*W+R$') THEN 'loom' END], lambda x: x IS NOT NULL), ',') AS profiles FROM lettered""",
     "bridge_check_parts": f"""WITH {_PACKETS}, i AS (SELECT packet, parts, {_cases("packet % 4", ("request", "reply", "fetch", "wave"))} AS intent FROM packets)
 SELECT packet, intent, CASE WHEN intent = 'wave' THEN 'unknown move wave' WHEN intent IN ('request', 'reply') AND NOT list_contains(parts, 'Return')
@@ -363,10 +400,18 @@ SELECT conv_id, turn, CASE k WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' ELSE '
   CASE WHEN bad THEN 'error' WHEN k = 1 THEN 'end_turn' ELSE 'stop' END AS stop_reason, CASE WHEN NOT bad AND k = 1 THEN 3::BIGINT END AS input_tokens,
   CASE WHEN NOT bad THEN length(text) END AS output_tokens, CASE WHEN NOT bad THEN length(text) + CASE WHEN k = 1 THEN 3 ELSE 0 END END AS total_tokens,
   CASE WHEN bad THEN 'busy' END AS error FROM a""",
-    "edit_inverse": f"WITH RECURSIVE {_BLOCKS} SELECT doc_id, block_ix, text, NULL::VARCHAR AS error FROM blocks",
-    "config_settings": """WITH n AS (SELECT n_nationkey::BIGINT AS doc_id, 'nation/' || n_nationkey AS section, n_name, n_regionkey AS r FROM nation)
-SELECT doc_id, section, 'name' AS key, 'string' AS kind, '"' || n_name || '"' AS value, NULL::VARCHAR AS error FROM n
-UNION ALL SELECT doc_id, section, 'region', 'int', r::VARCHAR, NULL FROM n
-UNION ALL SELECT doc_id, section, CASE r WHEN 0 THEN 'region' WHEN 1 THEN 'name' ELSE 'tags' END, CASE r WHEN 0 THEN NULL WHEN 1 THEN 'bool' ELSE 'array' END,
+    "edit_inverse": f"""WITH RECURSIVE {_BLOCKS} SELECT doc_id, block_ix, text, CASE WHEN doc_id % 10 = 9 AND doc_id % 3 <> 1 THEN 'the old text differs' END AS error FROM blocks""",
+    "edit_apply": f"""WITH RECURSIVE {_BLOCKS}, e AS (SELECT doc_id, block_ix, text, doc_id % 3 AS op, (doc_id // 3) % 3 AS pos, doc_id % 10 = 9 AND doc_id % 3 <> 1 AS bad FROM blocks),
+r AS (SELECT doc_id, block_ix + CASE WHEN NOT bad AND op = 1 AND block_ix >= pos THEN 1 WHEN NOT bad AND op = 2 AND block_ix > pos THEN -1 ELSE 0 END AS block_ix,
+  CASE WHEN NOT bad AND op = 0 AND block_ix = pos THEN 'new text' ELSE text END AS text, NOT bad AND op = 0 AND block_ix = pos AS dirty, bad FROM e WHERE bad OR op <> 2 OR block_ix <> pos
+  UNION ALL SELECT doc_id, pos, 'new text', true, bad FROM e WHERE op = 1 AND block_ix = pos)
+SELECT doc_id, block_ix::INT AS block_ix, text, dirty, CASE WHEN bad THEN 'the old text differs' END AS error FROM r""",
+    "config_encode": """SELECT c_custkey::BIGINT AS doc_id, '[customer/' || c_custkey || ']' || chr(10) || 'name = "' || c_name || '"' || chr(10) || 'nation = ' || c_nationkey || chr(10)
+  || CASE WHEN c_nationkey % 5 > 1 THEN 'tags = [1, true]' || chr(10) ELSE '' END AS text FROM customer""",
+    "config_settings": """WITH n AS (SELECT c_custkey::BIGINT AS doc_id, 'customer/' || c_custkey AS section, c_name, c_nationkey, c_nationkey % 5 AS r FROM customer)
+SELECT doc_id, section, 'name' AS key, 'string' AS kind, '"' || c_name || '"' AS value, NULL::VARCHAR AS error FROM n
+UNION ALL SELECT doc_id, section, 'nation', 'int', c_nationkey::VARCHAR, NULL FROM n
+UNION ALL SELECT doc_id, section, CASE r WHEN 0 THEN 'nation' WHEN 1 THEN 'name' ELSE 'tags' END, CASE r WHEN 0 THEN NULL WHEN 1 THEN 'bool' ELSE 'array' END,
   CASE r WHEN 0 THEN '1.5' WHEN 1 THEN 'true' ELSE '[1, true]' END, CASE r WHEN 0 THEN 'no value of a known kind' WHEN 1 THEN 'key given twice' END FROM n""",
 }
+ORACLES |= wires.ORACLES

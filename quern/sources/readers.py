@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """One row for each file: path and whole text."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def blobs(spark: SparkSession, path: str, most: int = 8 * 1024 * 1024) -> DataFrame:
@@ -20,8 +20,8 @@ def blobs(spark: SparkSession, path: str, most: int = 8 * 1024 * 1024) -> DataFr
 
 
 def ndjson_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of newline-delimited JSON with their file and order; blank lines are none."""
-    rows = spark.read.text(path).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("frame_ix"), F.col("value").alias("data"))
+    """Lines of newline-delimited JSON with their file and their number in it; blank lines are none.  A file is one answer's, so it is read whole."""
+    rows = texts(spark, path).select("path", F.posexplode(F.split("text", "\r?\n")).alias("frame_ix", "data"))
     return rows.where(F.length(F.trim("data")) > 0)
 
 
