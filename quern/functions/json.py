@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .limits import exceeded, first_error
-from .values import tagged_number
+from .values import bind, tagged_number, variant_kind
 
 TOKEN = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null|[\[\]{}:,]'
 
@@ -21,15 +21,7 @@ def parsed(json: Column) -> Column:
 
 def kind_at(value: Column, path: str = "$") -> Column:
     """``string number bool nil list map`` of what lies at the path, or null where nothing does."""
-    schema = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-    return (
-        F.when(schema == "STRING", "string")
-        .when(schema == "BOOLEAN", "bool")
-        .when(schema == "VOID", "nil")
-        .when(F.startswith(schema, F.lit("OBJECT")), "map")
-        .when(F.startswith(schema, F.lit("ARRAY")), "list")
-        .when(schema.isNotNull(), "number")
-    )
+    return variant_kind(value if path == "$" else F.try_variant_get(value, path, "variant"))
 
 
 def string_at(value: Column, path: str) -> Column:
@@ -81,8 +73,7 @@ def depth(ts: Column) -> Column:
 
 def limits_error(json: Column, nodes: int | None = None, most: int | None = None) -> Column:
     """The error of a JSON text with too many nodes or nested too deep, or null."""
-    ts = tokens(json)
-    return first_error(exceeded("nodes", node_count(ts), nodes), exceeded("depth", depth(ts), most))
+    return bind(tokens(json), lambda ts: first_error(exceeded("nodes", node_count(ts), nodes), exceeded("depth", depth(ts), most)))
 
 
 def tagged(json: Column) -> Column:
@@ -91,9 +82,8 @@ def tagged(json: Column) -> Column:
     Works on the tokens, each by its neighbours alone: a comma before a name closes an entry, as does the end of a map.
     Null where the text is no JSON.
     """
-    ts = tokens(json)
 
-    def one(t: Column, i: Column) -> Column:
+    def one(ts: Column, t: Column, i: Column) -> Column:
         before, after = F.get(ts, i - 1), i + 1
         scalar = F.when(F.startswith(t, F.lit('"')), F.concat(F.lit('{"$expr":"string","value":'), t, F.lit("}")))
         scalar = scalar.when(t.isin("true", "false"), F.concat(F.lit('{"$expr":"bool","value":'), t, F.lit("}"))).when(t == "null", '{"$expr":"nil"}')
@@ -108,7 +98,8 @@ def tagged(json: Column) -> Column:
             .otherwise(scalar.otherwise(tagged_number(t)))
         )
 
-    return F.when(parsed(json).isNotNull(), F.array_join(F.transform(ts, one), ""))
+    made = bind(tokens(json), lambda ts: F.array_join(F.transform(ts, lambda t, i: one(ts, t, i)), ""))
+    return F.when(parsed(json).isNotNull(), made)
 
 
 #: The tags of scalar tagged values with the fields that each needs, and the kinds of these.
@@ -119,7 +110,10 @@ SEQUENCES = ("list", "vector", "set", "block")
 
 def untagged_scalar(value: Column) -> Column:
     """A tagged scalar as (``kind``, ``domain``, ``text``, ``error``): text is what was written, a bool as true or false."""
-    tag = string_at(value, '$["$expr"]')
+    return bind(string_at(value, '$["$expr"]'), lambda tag: _scalar(value, tag))
+
+
+def _scalar(value: Column, tag: Column) -> Column:
     need = [(t, f, k) for t, fields in SCALARS.items() for f, k in fields]
     error = F.when(tag.isNull(), "missing $expr").when(~tag.isin(*SCALARS, *SEQUENCES, "map"), F.concat(F.lit("unknown $expr "), tag))
     for t, f, k in need:
@@ -128,8 +122,12 @@ def untagged_scalar(value: Column) -> Column:
         error = error.when((tag == t) & items_at(value, "$.items").isNull(), f"{t} needs items")
     error = error.when((tag == "map") & items_at(value, "$.entries").isNull(), "map needs entries")
     text = F.coalesce(F.try_variant_get(value, "$.value", "string"), string_at(value, "$.name"), string_at(value, "$.base64"))
-    ok = error.isNull()
-    return F.struct(F.when(ok, tag).alias("kind"), F.when(ok, string_at(value, "$.domain")).alias("domain"), F.when(ok, text).alias("text"), error.alias("error"))
+
+    def made(error: Column) -> Column:
+        ok = error.isNull()
+        return F.struct(F.when(ok, tag).alias("kind"), F.when(ok, string_at(value, "$.domain")).alias("domain"), F.when(ok, text).alias("text"), error.alias("error"))
+
+    return bind(error, made)
 
 
 def untagged_items(value: Column) -> Column:

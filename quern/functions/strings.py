@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .limits import first_error, input_bytes
+from .values import bind
 
 ESCAPE = r"\\(?:[\\\"nrt]|u\{[0-9A-Fa-f]+\})"
 #: Fixed values of the FNV-1a hash: the start, and the prime less its bit 40.
@@ -26,7 +27,10 @@ def literal(text: Column) -> Column:
 
 def literal_value(raw: Column) -> Column:
     """(``value``, ``error``) of a literal as :func:`literal` writes it."""
-    inner = F.regexp_extract(raw, r'(?s)^"(.*)"$', 1)
+    return bind(F.regexp_extract(raw, r'(?s)^"(.*)"$', 1), lambda inner: _value(raw, inner))
+
+
+def _value(raw: Column, inner: Column) -> Column:
     rest = F.regexp_replace(inner, ESCAPE, "")
     error = (
         F.when(raw.isNull(), None)
@@ -58,7 +62,10 @@ def literal_value(raw: Column) -> Column:
 
 def base64_value(text: Column, most: int | None = None) -> Column:
     """(``data``, ``error``) of base64 text: blanks and line ends may stand anywhere, all else must be exact, unused bits zero."""
-    clean = F.translate(text, " \n\r\t", "")
+    return bind(F.translate(text, " \n\r\t", ""), lambda clean: _decoded(text, clean, most))
+
+
+def _decoded(text: Column, clean: Column, most: int | None) -> Column:
     whole = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
     error = (
         F.when(F.regexp_like(clean, F.lit("[^A-Za-z0-9+/=]")), "invalid base64 byte")
@@ -72,11 +79,10 @@ def base64_value(text: Column, most: int | None = None) -> Column:
 
 def stable_hash(text: Column) -> Column:
     """FNV-1a of the UTF-8 bytes, as sixteen hex digits; 64 bits are held as two halves, for Spark's longs don't wrap."""
-    data = F.hex(F.encode(text, "utf-8"))
-    at = F.when(F.length(data) > 0, F.sequence(F.lit(0), F.octet_length(text) - 1)).otherwise(F.array().cast("array<int>"))
+    at = F.when(F.octet_length(text) > 0, F.sequence(F.lit(0), F.octet_length(text) - 1)).otherwise(F.array().cast("array<int>"))
     mask = F.lit(0xFFFFFFFF)
 
-    def step(h: Column, i: Column) -> Column:
+    def step(data: Column, h: Column, i: Column) -> Column:
         byte = F.conv(F.substring(data, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
         low = h["low"].bitwiseXOR(byte)
         product = low * FNV_LOW
@@ -84,6 +90,6 @@ def stable_hash(text: Column) -> Column:
         return F.struct(high.bitwiseAND(mask).alias("high"), product.bitwiseAND(mask).alias("low"))
 
     start = F.struct(F.lit(FNV_START >> 32).cast("long").alias("high"), F.lit(FNV_START & 0xFFFFFFFF).cast("long").alias("low"))
-    folded = F.aggregate(at, start, step)
     part = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
-    return F.when(text.isNotNull(), F.concat(part(folded["high"]), part(folded["low"])))
+    folded = bind(F.hex(F.encode(text, "utf-8")), lambda data: F.aggregate(at, start, lambda h, i: step(data, h, i), lambda h: F.concat(part(h["high"]), part(h["low"]))))
+    return F.when(text.isNotNull(), folded)

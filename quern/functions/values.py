@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 F64 = "numbers/f64"
 
 
+def bind(value: Column, of) -> Column:
+    """``of(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 def quoted(text: Column) -> Column:
     """A JSON string literal of the text."""
     return F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
@@ -38,23 +43,29 @@ def tagged_map(entries: Column, key, value) -> Column:
 
 
 def object_fields(json: Column) -> Column:
-    """Top-level fields of a JSON object in order as (key, raw, domain): raw is the value's text, null for a JSON null; other JSON gives null.
+    """Top-level fields of a JSON object, in the order of their names, as (key, raw, domain): raw is the value's text, null for a JSON null; other JSON gives null.
 
     ``domain`` is ``number bool nil string list map``, from the value's type, so a string of digits is a string.  Numbers of up to 38 digits keep
     them all (1.50 is written 1.5).  An object that names a key twice gives null; see :func:`repeated_keys`.
     """
-    keys = F.json_object_keys(json)
     values = F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>")
 
-    def one(k: Column) -> Column:
-        v = F.element_at(values, k)
-        schema = F.schema_of_variant(v)
-        kind = F.when(schema == "STRING", "string").when(schema == "BOOLEAN", "bool").when(schema == "VOID", "nil")
-        kind = kind.when(F.startswith(schema, F.lit("OBJECT")), "map").when(F.startswith(schema, F.lit("ARRAY")), "list").otherwise("number")
-        raw = F.when(kind == "string", F.try_variant_get(v, "$", "string")).when(kind != "nil", F.to_json(v))
-        return F.struct(k.alias("key"), raw.alias("raw"), kind.alias("domain"))
+    def one(e: Column) -> Column:
+        v = e["value"]
+        raw = lambda kind: F.when(kind == "string", F.try_variant_get(v, "$", "string")).when(kind != "nil", F.to_json(v))
+        return bind(variant_kind(v), lambda kind: F.struct(e["key"].alias("key"), raw(kind).alias("raw"), kind.alias("domain")))
+
+    return F.transform(F.map_entries(values), one)
+
+
+#: Kinds of values by the first word of a VARIANT's schema.
+KINDS = {"STRING": "string", "BOOLEAN": "bool", "VOID": "nil", "OBJECT": "map", "ARRAY": "list"} | dict.fromkeys(("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "number")
+
 
-    return F.when(values.isNotNull(), F.transform(keys, one))
+def variant_kind(v: Column) -> Column:
+    """``string number bool nil list map`` of a VARIANT; null for null."""
+    word = F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+    return F.element_at(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair]), word)
 
 
 def repeated_keys(json: Column) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.values import bind
+
 #: Fixed value: what Typst reads as markup inside a text.
 TYPST_MARKUP = r"([#*_`$@<>\\])"
 HEADING = r"(?sU)^\s*(#{1,6})\s+(\S.*?)\s*$"
@@ -87,17 +89,17 @@ def blocks(docs: DataFrame) -> DataFrame:
     )
 
 
-def window_starts(text: Column, most: int) -> Column:
-    """Byte offsets at which greedy windows of at most ``most`` bytes begin, and the end; windows never cut a character.
+def _ends(text: Column, data: Column, most: int) -> Column:
+    """Byte offsets at which greedy windows of at most ``most`` bytes end; windows never cut a character, ``data`` are the text's bytes.
 
-    A character wider than ``most`` is a window of its own.  The fold takes one step for each window, not for each character.
+    A character wider than ``most`` is a window of its own.  In a text of ASCII all windows are equally wide; else a fold takes a
+    step for each window, not for each character.
     """
-    data = F.encode(text, "utf-8")
     n = F.octet_length(text)
     inside = lambda p: F.hex(F.substring(data, p + 1, 1)).between("80", "BF")  # noqa: E731  within a character
 
     def step(acc: Column, _: Column) -> Column:
-        at = F.get(acc, F.size(acc) - 1)
+        at = F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))
         to = F.least(at + most, n)
         back = F.when(to >= n, to).when(~inside(to), to).when(~inside(to - 1), to - 1).when(~inside(to - 2), to - 2).otherwise(to - 3)
         wide = F.when(~inside(at + 1) | (at + 1 >= n), at + 1).when(~inside(at + 2) | (at + 2 >= n), at + 2).when(~inside(at + 3) | (at + 3 >= n), at + 3).otherwise(at + 4)
@@ -105,16 +107,24 @@ def window_starts(text: Column, most: int) -> Column:
         return F.when(at >= n, acc).otherwise(F.concat(acc, F.array(to)))
 
     steps = F.sequence(F.lit(1), F.ceil(n / max(1, most - 3)).cast("int") + 1)
-    return F.aggregate(steps, F.array(F.lit(0)), step)
+    even = F.transform(F.sequence(F.lit(1), F.ceil(n / most).cast("int")), lambda i: F.least(i * most, n))
+    return F.when(n == F.length(text), even).otherwise(F.aggregate(steps, F.array().cast("array<int>"), step))
 
 
 def _windows(rows: DataFrame, most: int, base: Column, keep: list[str]) -> DataFrame:
-    """Windows of the column ``text`` of each row; ``base`` is added to offsets."""
-    rows = rows.where((F.octet_length("text") > 0) & F.lit(most > 0)).withColumn("_s", window_starts(F.col("text"), most))
-    pairs = F.transform(F.slice("_s", F.lit(1), F.size("_s") - 1), lambda s, i: F.struct(s.alias("a"), F.get("_s", i + 1).alias("b")))
-    rows = rows.select(*keep, "text", base.alias("_base"), F.posexplode(pairs).alias("_ix", "_p"))
-    part = F.decode(F.expr("substring(encode(text, 'utf-8'), _p.a + 1, _p.b - _p.a)"), "utf-8")
-    return rows.select(*keep, "_ix", part.alias("text"), (F.col("_base") + F.col("_p.a")).cast("long").alias("start"), (F.col("_base") + F.col("_p.b")).cast("long").alias("end"))
+    """Windows of the column ``text`` of each row; ``base`` is added to offsets.  They are cut inside the row, from its bytes."""
+    if most <= 0:
+        return rows.limit(0).select(*keep, F.lit(0).alias("_ix"), "text", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
+    text = F.col("text")
+
+    def cut(data: Column, ends: Column) -> Column:
+        start = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+        part = lambda e, i: F.decode(F.substring(data, start(i) + 1, e - start(i)), "utf-8")
+        return F.transform(ends, lambda e, i: F.struct(part(e, i).alias("text"), start(i).alias("a"), e.alias("b")))
+
+    pieces = bind(F.encode(text, "utf-8"), lambda data: bind(_ends(text, data, most), lambda ends: cut(data, ends)))
+    rows = rows.where(F.octet_length("text") > 0).select(*keep, base.alias("_base"), F.posexplode(pieces).alias("_ix", "_p"))
+    return rows.select(*keep, "_ix", F.col("_p.text").alias("text"), (F.col("_base") + F.col("_p.a")).cast("long").alias("start"), (F.col("_base") + F.col("_p.b")).cast("long").alias("end"))
 
 
 def chunk_fixed(docs: DataFrame, most: int) -> DataFrame:

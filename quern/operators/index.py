@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.json import items_at, keys_at, kind_at, parsed, string_at
-from quern.functions.values import repeated_keys
+from quern.functions.values import bind, repeated_keys
 
 # The fields of each record with their kinds; a question mark stands for a field that may be missing (a string also nil), and
 # a list says of what its items are.
@@ -53,6 +53,11 @@ def _path(name: str) -> str:
     return f'$["{name}"]'
 
 
+def _kind_test(allowed: tuple[str, ...], wrong: str, missing: str | None):
+    """What is wrong with the kind of a field, as a function of the kind alone."""
+    return lambda found: F.when(found.isNull(), missing).when(~found.isin(*allowed), wrong)
+
+
 def _item_test(kind: str, wrong: str):
     """What is wrong with an item of a list, as a function of the item alone."""
     if kind == "string":
@@ -63,29 +68,23 @@ def _item_test(kind: str, wrong: str):
 def fields_reason(v: Column, label: str) -> Column:
     """The first thing wrong with a record of the kind ``label``: no map, an unknown, missing or ill-kinded field, in this order; else null."""
     spec = GRAMMAR[label]
-    unknown = F.array_except(keys_at(v), F.array(*[F.lit(k) for k in spec]))
-    reason = F.when(~kind_at(v).eqNullSafe("map"), f"{label} must be a map").when(F.size(unknown) > 0, F.concat(F.lit(f"{label} has unknown field "), F.get(unknown, 0)))
+    more = bind(F.array_except(keys_at(v), F.array(*[F.lit(k) for k in spec])), lambda x: F.when(F.size(x) > 0, F.concat(F.lit(f"{label} has unknown field "), F.get(x, 0))))
+    reasons = [F.when(~kind_at(v).eqNullSafe("map"), f"{label} must be a map"), more]
     for name, kind in spec.items():
-        found, base = kind_at(v, _path(name)), kind.removesuffix("?")
-        if not kind.endswith("?"):
-            reason = reason.when(found.isNull(), f"{label} missing field {name}")
+        base, may = kind.removesuffix("?"), kind.endswith("?")
         wrong = f"{name} of {label} is no {base}"
-        if base.startswith("list of "):
-            reason = reason.when(found.isNotNull() & (found != "list"), wrong)
-            inner = base.removeprefix("list of ")
-            first = F.get(F.array_compact(F.transform(items_at(v, _path(name)), _item_test(inner, wrong))), 0)
-            reason = reason.when(first.isNotNull(), first)
-        else:
-            allowed = ("nil", base) if kind.endswith("?") else (base,)
-            reason = reason.when(found.isNotNull() & ~found.isin(*allowed), wrong)
-    return reason
+        is_list = base.startswith("list of ")
+        allowed = ("list",) if is_list else ("nil", base) if may else (base,)
+        reasons.append(bind(kind_at(v, _path(name)), _kind_test(allowed, wrong, None if may else f"{label} missing field {name}")))
+        if is_list:
+            reasons.append(F.get(F.array_compact(F.transform(items_at(v, _path(name)), _item_test(base.removeprefix("list of "), wrong))), 0))
+    return F.coalesce(*reasons)
 
 
 def check(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``reason`` of each index document in ``json``; null where it fits the grammar."""
-    v = parsed(F.col("json"))
-    first = F.when(repeated_keys(F.col("json")), "index repeats a field").when(v.isNull(), "no JSON, or a field of a record is repeated")
-    return docs.select("doc_id", first.otherwise(fields_reason(v, "index")).alias("reason"))
+    whole = lambda v: F.when(v.isNull(), "no JSON, or a field of a record is repeated").otherwise(fields_reason(v, "index"))
+    return docs.select("doc_id", F.when(repeated_keys(F.col("json")), "index repeats a field").otherwise(bind(parsed(F.col("json")), whole)).alias("reason"))
 
 
 def items(docs: DataFrame, section: str) -> DataFrame:

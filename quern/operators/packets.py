@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.json import items_at, keys_at, kind_at, parsed, string_at
+from quern.functions.values import bind
 
 from .protocols import COLLAB, MOVES, matching_profiles
 
@@ -56,7 +57,7 @@ def _path(name: str) -> str:
 
 def _unknown(v: Column, allowed, label: str) -> Column:
     more = F.array_except(keys_at(v), F.array(*[F.lit(x) for x in allowed]))
-    return F.when(~kind_at(v).eqNullSafe("map"), f"{label} must be a map").when(F.size(more) > 0, F.concat(F.lit(f"unknown {label} field "), F.get(more, 0)))
+    return bind(more, lambda x: F.when(x.isNull(), f"{label} must be a map").when(F.size(x) > 0, F.concat(F.lit(f"unknown {label} field "), F.get(x, 0))))
 
 
 def _first(items: Column, reason) -> Column:
@@ -77,13 +78,15 @@ def hole_reason(slots: Column, name: str, kind: str) -> Column:
 
 def frame_reason(v: Column) -> Column:
     """A frame's payload has ``frame``, the name of a frame in the book, and ``slots``, just its holes."""
-    name = string_at(v, "$.frame")
-    slots = F.try_variant_get(v, "$.slots", "variant")
+    return bind(string_at(v, "$.frame"), lambda name: bind(F.try_variant_get(v, "$.slots", "variant"), lambda slots: _frame_reason(v, name, slots)))
+
+
+def _frame_reason(v: Column, name: Column, slots: Column) -> Column:
     reason = F.coalesce(_unknown(v, ("frame", "slots"), "frame"), F.when(name.isNull(), "frame is missing frame").when(~kind_at(v, "$.slots").eqNullSafe("map"), "frame is missing slots"))
     reason = F.coalesce(reason, F.when(~name.isin(*[f[0] for f in FRAME_BOOK]), F.concat(F.lit("unknown frame "), name)))
     own = F.lit(None).cast("string")
     for frame, _, _, holes in FRAME_BOOK:
-        more = F.array_except(keys_at(v, "$.slots"), F.array(*[F.lit(x) for x in holes]).cast("array<string>"))
+        more = F.array_except(keys_at(slots), F.array(*[F.lit(x) for x in holes]).cast("array<string>"))
         one = F.when(F.size(more) > 0, F.concat(F.lit(f"frame {frame} has unknown hole "), F.get(more, 0)))
         for hole, kind in holes.items():
             one = F.coalesce(one, F.when(kind_at(slots, _path(hole)).isNull(), f"frame {frame} missing hole {hole}"), hole_reason(slots, hole, kind))
@@ -153,7 +156,10 @@ def collab_reason(kind: str, v: Column) -> Column:
 
 def part_reason(kind: Column, payload: Column, fence: str = "data") -> Column:
     """What is wrong with one part: a kind that is not in the book, or its payload."""
-    v = parsed(payload)
+    return bind(parsed(payload), lambda v: _part_reason(kind, v, fence))
+
+
+def _part_reason(kind: Column, v: Column, fence: str) -> Column:
     checks = {"Frame": frame_reason(v), "Call": call_reason(v, fence), "Weave": weave_reason(v)} | {k: collab_reason(k, v) for k in COLLAB}
     reason = F.when(~F.coalesce(kind.isin(*[p[0] for p in PART_BOOK]), F.lit(False)), F.concat(F.lit("unknown part "), F.coalesce(kind, F.lit("null"))))
     for name, own in checks.items():
@@ -209,9 +215,9 @@ def warrant_of(body: Column) -> Column:
 
 def check(packets: DataFrame, verify: bool = False, fence: str = "data") -> DataFrame:
     """``packets`` with the first ``reason`` against each: parts in order, evidence of parents, the move, the profile, and with ``verify`` the warrant."""
-    kinds = F.transform("body", lambda p: p["kind"])
-    moves = parent_moves(F.col("parents"))
-    found = matching_profiles(kinds)
+    rows = packets.withColumns({"_kinds": F.transform("body", lambda p: p["kind"]), "_moves": parent_moves(F.col("parents"))})
+    rows = rows.withColumn("_found", matching_profiles(F.col("_kinds")))
+    kinds, moves, found = F.col("_kinds"), F.col("_moves"), F.col("_found")
     reason = F.coalesce(
         _first(F.col("body"), lambda p: part_reason(p["kind"], p["payload"], fence)),
         F.when(F.exists(moves, lambda m: m.isNull()), "a parent gives no evidence of its move"),
@@ -221,7 +227,7 @@ def check(packets: DataFrame, verify: bool = False, fence: str = "data") -> Data
     if verify:
         own = warrant_of(F.col("body"))
         reason = F.coalesce(reason, F.when(F.col("warrant").isNull(), "a warrant is required").when(~F.col("warrant").eqNullSafe(own), "the warrant does not match the book"))
-    return packets.withColumn("reason", reason)
+    return rows.withColumn("reason", reason).drop("_kinds", "_moves", "_found")
 
 
 def stamp(packets: DataFrame) -> DataFrame:
@@ -237,8 +243,11 @@ def verify_stamp(packets: DataFrame) -> DataFrame:
 
 def render_frame(payload: Column) -> Column:
     """A frame's sentence: prefix and template with its holes filled; null where the frame is wrong, or where it holds prose."""
-    v = parsed(payload)
-    name, slots = string_at(v, "$.frame"), F.try_variant_get(v, "$.slots", "variant")
+    return bind(parsed(payload), lambda v: bind(F.try_variant_get(v, "$.slots", "variant"), lambda slots: F.when(frame_reason(v).isNull(), _rendered(v, slots))))
+
+
+def _rendered(v: Column, slots: Column) -> Column:
+    name = string_at(v, "$.frame")
     out = F.lit(None).cast("string")
     for frame, prefix, template, holes in FRAME_BOOK:
         text = F.lit(prefix + template)
@@ -247,7 +256,7 @@ def render_frame(payload: Column) -> Column:
             value = {"path": steps, "token": string_at(slots, _path(hole)), "prose": F.lit(None).cast("string")}[kind]
             text = F.replace(text, F.lit(f"{{{hole}}}"), value)
         out = F.when(name == frame, text).otherwise(out)
-    return F.when(frame_reason(v).isNull(), out)
+    return out
 
 
 def ownership_reason(rendered: Column, spans: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.json import keys_at, kind_at, parsed, string_at
-from quern.functions.values import quoted, repeated_keys
+from quern.functions.values import bind, quoted, repeated_keys
 
 # The standard moves with what they may answer, and the parts they require.
 MOVES = (
@@ -90,8 +90,10 @@ def envelope(json: Column) -> Column:
     string 2.0, a field is unknown or named twice, an id is neither string, number nor null, a method no string, or an error no map of an integer
     ``code``, a string ``message`` and perhaps ``data``.  ``id`` is JSON; ``body`` is the JSON of params, result or the error's data.
     """
-    v = parsed(json)
-    keys = keys_at(v)
+    return bind(parsed(json), lambda v: bind(keys_at(v), lambda keys: _envelope(json, v, keys)))
+
+
+def _envelope(json: Column, v: Column, keys: Column) -> Column:
     owned = ("method", "id", "result", "error")
     of = {k: F.coalesce(F.array_contains(keys, k), F.lit(False)) for k in owned}
     bad_id = of["id"] & ~kind_at(v, "$.id").isin("string", "number", "nil")
@@ -120,11 +122,10 @@ def envelope(json: Column) -> Column:
         .when(~string_at(v, "$.jsonrpc").eqNullSafe("2.0"), "invalid: version")
     )
     kind = first.otherwise(kind.otherwise("invalid: field combination"))
-    ok = ~F.startswith(kind, F.lit("invalid"))
     part = lambda path: F.to_json(F.try_variant_get(v, path, "variant"))
     body = F.coalesce(part("$.params"), part("$.result"), part("$.error.data"))
     fields = {"id": part("$.id"), "method": string_at(v, "$.method"), "body": body, "code": F.try_variant_get(v, "$.error.code", "long"), "message": string_at(v, "$.error.message")}
-    return F.struct(kind.alias("kind"), *[F.when(ok, c).alias(k) for k, c in fields.items()])
+    return bind(kind, lambda k: F.struct(k.alias("kind"), *[F.when(~F.startswith(k, F.lit("invalid")), c).alias(n) for n, c in fields.items()]))
 
 
 def classify_envelope(json: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.json import bool_at, items_at, kind_at, parsed, string_at
-from quern.functions.values import repeated_keys
+from quern.functions.values import bind, repeated_keys
 
 # The markers of the four records, and the fields that each needs with their kinds; "any" is a field of any kind.
 RECORDS = {
@@ -27,20 +27,26 @@ def _path(name: str) -> str:
     return f'$["{name}"]'
 
 
+def _alone(of):
+    """A function of one argument, as lambdas of columns are told apart by how many they take."""
+    return lambda x: of(x)
+
+
 def _fields(v: Column, spec: tuple[tuple[str, str], ...], label: str) -> Column:
     """The first field of the spec that is missing or of another kind, as a reason."""
     reason = F.lit(None).cast("string")
     for name, kind in spec:
-        found = kind_at(v, _path(name))
-        reason = F.coalesce(reason, F.when(found.isNull(), f"{label} has no {name}"))
-        if kind != "any":
-            reason = F.coalesce(reason, F.when(found != kind, f"{name} of {label} is no {kind}"))
+        wrong = lambda found, name=name, kind=kind: F.when(found.isNull(), f"{label} has no {name}").when((found != kind) & (kind != "any"), f"{name} of {label} is no {kind}")
+        reason = F.coalesce(reason, bind(kind_at(v, _path(name)), _alone(wrong)))
     return reason
 
 
 def part_reason(part: Column) -> Column:
     """What is wrong with a part of a content, or null; parts of unknown or namespaced types are taken as they are."""
-    kind = string_at(part, "$.type")
+    return bind(string_at(part, "$.type"), lambda kind: _typed_part(part, kind))
+
+
+def _typed_part(part: Column, kind: Column) -> Column:
     reason = F.when(~kind_at(part).eqNullSafe("map"), "a part is no map").when(kind.isNull(), "a part has no type")
     for name, spec in PARTS.items():
         reason = reason.when(kind == name, _fields(part, spec, name))
@@ -77,8 +83,8 @@ def _one(v: Column, names: tuple[str, ...]) -> Column:
 
 def record_reason(json: Column) -> Column:
     """What is wrong with a record, or null.  A field named twice, at any depth, makes it no record."""
-    v = parsed(json)
-    return F.when(repeated_keys(json), "a field is named twice").when(v.isNull(), "no JSON, or a field of a field is named twice").otherwise(_one(v, tuple(RECORDS)))
+    whole = lambda v: F.when(v.isNull(), "no JSON, or a field of a field is named twice").otherwise(_one(v, tuple(RECORDS)))
+    return F.when(repeated_keys(json), "a field is named twice").otherwise(bind(parsed(json), whole))
 
 
 def content_text(value: Column, path: str) -> Column:
@@ -93,11 +99,13 @@ def tool_calls(value: Column, path: str) -> Column:
     Arguments come as JSON in a string; a blank string, null or nothing is an empty map, a value that is no string stays.
     """
 
+    at = "$.function.arguments"
+
     def one(call: Column) -> Column:
-        at = "$.function.arguments"
-        text = string_at(call, at)
+        return bind(string_at(call, at), lambda text: bind(parsed(text), lambda inner: made(call, text, inner)))
+
+    def made(call: Column, text: Column, inner: Column) -> Column:
         blank = kind_at(call, at).isNull() | (kind_at(call, at) == "nil") | (F.trim(text) == "")
-        inner = parsed(text)
         error = F.when(~blank & text.isNotNull() & inner.isNull(), "tool call arguments must be json")
         value_ = F.when(blank, "{}").when(text.isNotNull(), F.to_json(inner)).otherwise(F.to_json(F.try_variant_get(call, at, "variant")))
         return F.struct(string_at(call, "$.id").alias("id"), string_at(call, "$.function.name").alias("name"), value_.alias("arguments"), error.alias("error"))

@@ -35,6 +35,11 @@ def _live(frames: DataFrame, gap: str | None, delay: str) -> tuple[DataFrame, li
     return rows, [F.col("response_id"), F.session_window("at", gap)]
 
 
+def _parsed(frames: DataFrame, data: Column) -> DataFrame:
+    """``frames`` with the VARIANT ``v`` of their data, worked out once."""
+    return frames.withColumn("v", parsed(data))
+
+
 def _gather(frames: DataFrame, fields: dict[str, Column], gap: str | None, delay: str) -> DataFrame:
     """One row for each answer with its frames, in order, as the array ``f`` of ``ix`` and the fields."""
     rows, keys = _live(frames, gap, delay)
@@ -83,7 +88,7 @@ def _frame_failures() -> Column:
 def openai(frames: DataFrame, gap: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Answers of the chat-completions wire: deltas in order, the last finish reason and the last usage."""
     data = F.trim("data")
-    chunk, v = data != DONE, parsed(data)
+    chunk, v = data != DONE, F.col("v")
     usage = kind_at(v, "$.usage") == "map"
     fields = {
         "chunk": chunk,
@@ -96,13 +101,13 @@ def openai(frames: DataFrame, gap: str | None = None, delay: str = "10 minutes")
     f = F.col("f")
     last = _last(f, "usage")
     more = {"text": _joined(f, "text"), "reason": _last(f, "reason"), "input": last["i"], "output": last["o"], "total": last["t"]}
-    return _answers(_gather(frames, fields, gap, delay), "openai", _frame_failures(), more)
+    return _answers(_gather(_parsed(frames, data), fields, gap, delay), "openai", _frame_failures(), more)
 
 
 def ollama(frames: DataFrame, gap: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Answers of the chat wire, a JSON object a line: the texts in order, the last reason and the last counters."""
     data = F.trim("data")
-    chunk, v = data != "", parsed(data)
+    chunk, v = data != "", F.col("v")
     i, o = count_at(v, "$.prompt_eval_count"), count_at(v, "$.eval_count")
     fields = {
         "chunk": chunk,
@@ -115,7 +120,7 @@ def ollama(frames: DataFrame, gap: str | None = None, delay: str = "10 minutes")
     f = F.col("f")
     last = _last(f, "usage")
     more = {"text": _joined(f, "text"), "reason": _last(f, "reason"), "input": last["i"], "output": last["o"]}
-    return _answers(_gather(frames, fields, gap, delay), "ollama", _frame_failures(), more)
+    return _answers(_gather(_parsed(frames, data), fields, gap, delay), "ollama", _frame_failures(), more)
 
 
 TOOLS = ("tool_use", "server_tool_use")
@@ -127,7 +132,7 @@ def anthropic(frames: DataFrame, gap: str | None = None, delay: str = "10 minute
     ``content`` has (``index``, ``kind``, ``text``, ``id``, ``name``, ``arguments``); ``text`` joins the text blocks.  A block that starts
     anew is another.  A delta of the other kind than its block's is a failure, as is a tool call whose pieces are no JSON when it stops.
     """
-    v, event = parsed(F.col("data")), F.col("event")
+    v, event = F.col("v"), F.col("event")
     of_block = F.startswith(event, F.lit("content_block_"))
     start, delta, stop = (event == f"content_block_{x}" for x in ("start", "delta", "stop"))
     index = count_at(v, "$.index")
@@ -155,7 +160,7 @@ def anthropic(frames: DataFrame, gap: str | None = None, delay: str = "10 minute
         "reason": F.when(event == "message_delta", F.replace(string_at(v, "$.delta.stop_reason"), F.lit("_"), F.lit("-"))),
         "usage": F.when((event == "message_delta") & (i.isNotNull() | o.isNotNull()), F.struct(i.alias("i"), o.alias("o"))),
     }
-    rows = _gather(frames, fields, gap, delay)
+    rows = _gather(_parsed(frames, F.col("data")), fields, gap, delay)
     ends = F.filter("f", lambda x: x["event"] == "message_stop")
     end = F.get(ends, F.size(ends) - 1)["ix"]
     rows = rows.withColumn("b", F.filter("f", lambda x: end.isNull() | (x["ix"] <= end)))

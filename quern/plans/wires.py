@@ -136,7 +136,7 @@ def mcp_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
         },
         _text(head, '"id":', e, "}"),
     )
-    rows = _events(spark, sf_dir).select("event_id", protocols.envelope(wire).alias("e"))
+    rows = _events(spark, sf_dir).select("event_id", wire.alias("t")).select("event_id", protocols.envelope(F.col("t")).alias("e"))
     return rows.select("event_id", "e.kind", "e.id", "e.method", "e.body", "e.code", "e.message", protocols.envelope_json(F.col("e")).alias("again"))
 
 
@@ -167,7 +167,7 @@ def record_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
         },
         request('{"role":"user","content":"text"}'),
     )
-    return _events(spark, sf_dir).select("event_id", records.record_reason(json_).alias("reason"))
+    return _events(spark, sf_dir).select("event_id", json_.alias("t")).select("event_id", records.record_reason(F.col("t")).alias("reason"))
 
 
 def response_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,8 +329,9 @@ def stable_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     text = _text('{"id":', e, ',"list":["', e, '",null, true,1.50],"in":{"x,y":{}},"digits":12345678901234567890123.5}')
-    ts = json.tokens(text)
-    return _events(spark, sf_dir).select("event_id", json.tagged(text).alias("tagged"), json.node_count(ts).cast("long").alias("n_nodes"), json.depth(ts).alias("depth"))
+    rows, text = _events(spark, sf_dir).select("event_id", text.alias("t"), json.tokens(text).alias("ts")), F.col("t")
+    ts = F.col("ts")
+    return rows.select("event_id", json.tagged(text).alias("tagged"), json.node_count(ts).cast("long").alias("n_nodes"), json.depth(ts).alias("depth"))
 
 
 def json_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
