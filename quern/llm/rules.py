@@ -1,8 +1,9 @@
 """Quality rules: a threshold table compiled into one Spark projection, with no user functions.
 
 The measures are built from the array of words.  Repeated three-word windows are found without shuffling: each window
-becomes one long whose high bits are its hash and whose low bits are its position; after one primitive sort equal windows
-are neighbours.  For texts of over 65,536 words the position would take too many bits, so these sort the windows themselves.
+becomes one long whose high bits are its hash and whose low bits are its position, as many as the text's length needs; after one primitive sort
+equal windows are neighbours.  Neighbours of equal hash are compared word by word; should any of a text differ, its windows are sorted
+themselves, so that counts are exact at every length.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from .common import table, word_array
 
 SYMBOLS = "#*$%&|<>"
-POSITION_BITS = 16
 #: Frequent function words of the languages in the corpus (English, German, French, Spanish): a parameter of the rules.
 STOP_WORDS = (
     *("the of and to in is it for that with as on be at by this are was from or an not have".split()),
@@ -65,29 +65,32 @@ def measures(docs: DataFrame, text: str = "text", ident: str = "doc_id", carry:
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0)
     windows = F.sequence(F.lit(0), F.col("_n") - 3)
     word = lambda i: F.get(F.col("_w"), i)
-    bits = POSITION_BITS
+    bits = F.col("_bits")
     packed = F.transform(
         windows,
-        lambda i: F.shiftleft(F.xxhash64(word(i), word(i + 1), word(i + 2)), bits).bitwiseOR(i.cast("long")),
+        lambda i: F.call_function("shiftleft", F.xxhash64(word(i), word(i + 1), word(i + 2)), bits).bitwiseOR(i.cast("long")),
     )
     exact = F.transform(windows, lambda i: F.struct(F.slice(F.col("_w"), i + 1, 3).alias("w"), i.alias("p")))
-    short = F.col("_n") <= 1 << bits
-    rows = rows.withColumns(
+    rows = rows.withColumn("_bits", F.length(F.bin(F.col("_n").cast("long")))).withColumns(
         {
             "_joined": F.array_join("_w", ""),
             "_lines": lines,
-            "_packed": F.when((F.col("_n") > 3) & short, F.sort_array(packed)),
-            "_exact": F.when(~short, F.sort_array(exact)),
+            "_packed": F.when(F.col("_n") > 3, F.sort_array(packed)),
             "_stop": F.size(F.filter("_w", lambda x: F.lower(x).isin(*sorted(set(STOP_WORDS))))),
         }
     )
     p, e = F.col("_packed"), F.col("_exact")
-    same = lambda i, j: F.shiftright(F.get(p, i), bits) == F.shiftright(F.get(p, j), bits)
-    twin = F.filter(p, lambda x, i: F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)))
-    like = lambda i, j: F.get(e, i)["w"] == F.get(e, j)["w"]
-    twins = F.filter(e, lambda x, i: F.coalesce(like(i, i - 1), F.lit(False)) | F.coalesce(like(i, i + 1), F.lit(False)))
-    at = F.transform(twin, lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"))
-    rows = rows.withColumn("_at", F.sort_array(F.coalesce(at, F.transform(twins, lambda x: x["p"]))))
+    key = lambda x: F.call_function("shiftright", x, bits)
+    place = lambda x: (x - F.call_function("shiftleft", key(x), bits)).cast("int")
+    same = lambda x, j: F.coalesce(key(x) == key(F.get(p, j)), F.lit(False))
+    texts = lambda x: F.slice("_w", place(x) + 1, 3)
+    clash = F.size(F.filter(p, lambda x, i: same(x, i + 1) & (texts(x) != texts(F.get(p, i + 1)))))
+    rows = rows.withColumn("_exact", F.when(clash > 0, F.sort_array(exact)))
+    twin = F.filter(p, lambda x, i: same(x, i - 1) | same(x, i + 1))
+    like = lambda i, j: F.coalesce(F.get(e, i)["w"] == F.get(e, j)["w"], F.lit(False))
+    twins = F.filter(e, lambda x, i: like(i, i - 1) | like(i, i + 1))
+    at = F.when(e.isNotNull(), F.transform(twins, lambda x: x["p"])).otherwise(F.transform(twin, place))
+    rows = rows.withColumn("_at", F.sort_array(at))
     long = lambda c: c.cast("long")
     # through a generator of one row: a filter on a measure is otherwise moved below the projections, into every use of them
     one = F.struct(
@@ -142,3 +145,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_quality_rules": op7_quality_rules}
+
+_STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+ORACLES = {
+    "op7_quality_rules": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+x AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM x),
+p AS (SELECT r, least(3, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 3)) AS s FROM c WHERE n > 1),
+q AS (SELECT r, sum(s)::BIGINT AS s FROM p GROUP BY r),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(q.s, 0)::BIGINT AS n_repeat_words, len(list_filter(w, lambda x: lower(x) IN ({_STOPS}))) AS stops
+  FROM l LEFT JOIN q ON l.r = q.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND word_chars / n_words BETWEEN 2.5 AND 15 AND n_symbols / n_words <= 0.3 AND stops >= 2 AND stops / n_words >= 0.02
+  AND n_dup_lines / n_lines <= 0.5 AS kept FROM m""",
+}

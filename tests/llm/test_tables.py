@@ -114,3 +114,23 @@ def test_rules_of_very_long_texts(spark):
     text = " ".join(f"w{i % 40000}" for i in range(70000))
     rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert rules.measures(rows).first()["n_repeat_words"] == plain_measures(text)[4]
+
+
+def test_rules_where_hashes_clash(spark, monkeypatch):
+    """Windows whose hashes are all equal are still told apart by their words."""
+    texts = ["a b c d e f a b c x b c d", "a b a b a b a b", "one two three four", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(rules.F, "xxhash64", lambda *_: rules.F.lit(7).cast("long"))
+    assert {r["doc_id"]: r["n_repeat_words"] for r in rules.measures(rows).collect()} == {i: plain_measures(t)[4] for i, t in enumerate(texts)}
+
+
+def test_rules_equal_sql(spark):
+    """Every column, the verdict too, against the query's SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    theirs = con.execute(rules.ORACLES["op7_quality_rules"])
+    names = [d[0] for d in theirs.description]
+    ours = rules.op7_quality_rules(spark, "/root/testdata/sf0.001").select(*names).collect()
+    assert sorted(map(tuple, ours), key=repr) == sorted(theirs.fetchall(), key=repr)
