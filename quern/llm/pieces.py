@@ -1,13 +1,16 @@
 """SentencePiece encoding and decoding with a public model file.
 
 Text is cut into words (spaces go with the word after them); no piece crosses such a cut, so a word's pieces depend on the word
-alone.  A batch of documents becomes its distinct new words, these become matrices of symbols, and all words of a matrix are
-merged side by side: each round looks up every adjacent pair in the table of pairs that make a piece and merges the best
-pair of each word.  This gives the ids of the SentencePiece library exactly.
+alone.
 
-For models of the unigram type, :func:`viterbi` works on the relational lattice: bounded-length substrings of distinct words
-are joined to the piece table, the edges are grouped by word, and a Spark higher-order fold finds the best path.  That
-fold maximises the sum of scores, which is not what a merge (BPE) model means, so such models take the first way.
+The relational lattice works on tables of distinct words: bounded-length substrings are exploded and joined to the piece table, the
+edges are grouped by word, and a Spark higher-order fold picks the path.  For a merge (BPE) model, :func:`merged`, the fold's state is the
+set of cuts in the word, and each step takes out the cut inside the edge of least rank, leftmost first, that spans two neighbouring pieces.  For a
+unigram model, :func:`viterbi`, it is the best score at each place.
+
+Whole documents are encoded by :func:`encode`, with the same merges but inside tasks: a batch of documents becomes its distinct new words, these
+become matrices of symbols, and all words of a matrix are merged side by side, each round looking up every adjacent pair in the table
+of pairs that make a piece.  README has the figures that decided so.  Both give the ids of the SentencePiece library exactly.
 """
 
 from __future__ import annotations
@@ -268,7 +271,11 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", name: str = "decoded")
 
 
 def digest(docs: DataFrame, model: str) -> DataFrame:
-    """Count and checksum of each document's ids (unsigned 32-bit, little-endian), and whether they decode to its text."""
+    """Count and checksum of each document's ids (unsigned 32-bit, little-endian), and whether they decode to its text.
+
+    A null or empty text has no ids and the checksum 0.  Repeated rows are encoded each; an empty table gives an empty result; columns but
+    ``doc_id`` and ``text`` take no part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(model)
@@ -292,19 +299,66 @@ def piece_table(spark: SparkSession, model: str) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
+def _spans(words: DataFrame, longest: int) -> DataFrame:
+    """The substrings of each distinct word of up to ``longest`` characters: ``word``, ``i``, ``k`` (start and length), ``piece``."""
+    rows = words.select("word").where(F.length("word") > 0).distinct()
+    starts = rows.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("i"))
+    ends = starts.select("word", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("i")))).alias("k"))
+    return ends.select("word", "i", "k", F.substring("word", F.col("i") + 1, F.col("k")).alias("piece"))
+
+
+def merged(words: DataFrame, model: str) -> DataFrame:
+    """The pieces of each distinct ``word``, by merging, as the array ``ids``; words carry their space marks.
+
+    The piece table, at most some hundred thousand rows as models have, is broadcast.  A character that is no piece gives the pieces of its
+    bytes.  Words of more than 62 characters, for whose cuts a long has no bits, have null ids.  Null and empty words are left out; an empty
+    table gives an empty result.
+    """
+    spark = words.sparkSession
+    pieces, kind, unknown = read_model(model)
+    if kind != 2:
+        raise ValueError("not a merge model")
+    usable = [(p, i, s) for i, (p, s, t) in enumerate(pieces) if t in (1, 4)]
+    place = {s: r for r, s in enumerate(sorted({s for _, _, s in usable}, reverse=True))}
+    table_ = spark.createDataFrame([(p, i, place[s]) for p, i, s in usable], "piece string, id int, rank int")
+    bytes_ = {p: i for i, (p, _, t) in enumerate(pieces) if t == 6}
+    of_byte = F.array(*[F.lit(bytes_.get(f"<0x{b:02X}>", unknown)) for b in range(256)])
+    short = words.where(F.length("word") <= 62)
+    found = _spans(short, max(len(p) for p, _, _ in usable)).join(F.broadcast(table_), "piece", "left").where(F.col("id").isNotNull() | (F.col("k") == 1))
+    shift = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+    inside = shift(F.col("i") + F.col("k")) - shift(F.col("i") + 1)
+    edge = F.struct(F.coalesce("rank", F.lit(-1)).alias("rank"), "i", "k", "id", inside.alias("inside"), F.when(F.col("id").isNull(), F.col("piece")).alias("char"))
+    edges = found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    edges = edges.withColumn("joins", F.transform(F.filter("edges", lambda e: e["k"] > 1), lambda e: e["inside"]))
+
+    def step(cuts, _):
+        """The least edge that both ends and just one place inside are cuts of loses that cut."""
+
+        def fits(m):
+            at = cuts.bitwiseAND(m.bitwiseOR(F.shiftleft(m, 1)).bitwiseOR(F.shiftright(m, 1)))
+            return (F.bit_count(at) == 3) & (F.bit_count(at.bitwiseAND(m)) == 1)
+
+        return cuts.bitwiseAND(F.bitwise_not(F.coalesce(F.get(F.filter("joins", fits), 0), F.lit(0).cast("long"))))
+
+    n = F.length("word")
+    cuts = F.aggregate(F.sequence(F.lit(1), n), shift(n + 1) - 1, step)
+    cut = lambda at: F.call_function("getbit", F.col("cuts"), at) == 1
+    chosen = F.filter("edges", lambda e: (F.col("cuts").bitwiseAND(e["inside"]) == 0) & cut(e["i"]) & cut(e["i"] + e["k"]))
+    spelt = lambda c: F.transform(F.regexp_extract_all(F.hex(F.encode(c, "utf-8")), F.lit(".."), 0), lambda h: F.element_at(of_byte, F.conv(h, 16, 10).cast("int") + 1))
+    ordered = F.array_sort(F.transform(chosen, lambda e: F.struct(e["i"].alias("i"), e["id"].alias("id"), e["char"].alias("char"))))
+    ids = F.flatten(F.transform(ordered, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(spelt(e["char"]))))
+    done = edges.withColumn("cuts", cuts).select("word", ids.alias("ids"))
+    return done.unionByName(words.where(F.length("word") > 62).select("word").distinct().withColumn("ids", F.lit(None).cast("array<int>")))
+
+
 def viterbi(words: DataFrame, pieces: DataFrame, longest: int, unknown: int, least: float) -> DataFrame:
     """The best path of each distinct ``word`` through its lattice, as the array ``ids``; words carry their space marks.
 
     ``pieces`` has ``piece``, ``id``, ``score``, at most some hundred thousand rows as models have, and is broadcast.  A
-    character that is no piece gets the id ``unknown`` and the score ``least`` less the library's penalty.
+    character that is no piece gets the id ``unknown`` and the score ``least`` less the library's penalty.  Null and empty words are left out.
     """
-    word = F.col("word")
-    n = F.length(word)
-    starts = F.sequence(F.lit(0), n - 1)
-    spans = F.flatten(
-        F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i)), lambda k: F.struct(i.alias("i"), (i + k).alias("j"), F.substring(word, i + 1, k).alias("piece"))))
-    )
-    spread = words.select("word").where(n > 0).distinct().select("word", F.explode(spans).alias("s")).select("word", "s.*")
+    n = F.length("word")
+    spread = _spans(words, longest).withColumn("j", F.col("i") + F.col("k"))
     found = spread.join(F.broadcast(pieces), "piece", "left")
     single = F.col("j") == F.col("i") + 1
     edge = F.struct("i", "j", F.coalesce("score", F.lit(least - UNKNOWN_PENALTY)).alias("score"), F.coalesce("id", F.lit(unknown)).alias("id"))

@@ -250,6 +250,19 @@ def test_pieces(spark, docs, none):
     assert pieces.encode(none.drop("ids"), PIECES).count() == 0
 
 
+def test_merges_in_the_lattice(spark, docs, none):
+    """The relational lattice with its merge fold against the library, for the words of the documents and hard ones."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    real = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).collect()]
+    words = {w for t in [*real, *(d["text"] for d in docs.collect())] if t for w in t.split()} | {"日本語", "🎉🎉x", "é", "ﬁ½", "\x01", "aaaaaaaaaaa", "a" * 62}
+    rows = spark.createDataFrame([("▁" + w,) for w in words] * 2 + [(None,), ("",), ("▁" + "b" * 62,)], "word string")
+    got = {r["word"]: r["ids"] for r in pieces.merged(rows, PIECES).collect()}
+    long = {w for w in got if len(w) > 62}
+    assert len(got) == len(words) + 1 and "▁" + "b" * 62 in long and all(got[w] is None for w in long)
+    assert all(ids == sp.encode(w[1:]) for w, ids in got.items() if w not in long)
+    assert pieces.merged(none.select(F.col("text").alias("word")), PIECES).count() == 0
+
+
 def test_viterbi(spark, tmp_path):
     """The lattice fold against the library, with the public model's pieces read as a unigram model."""
     from sentencepiece import sentencepiece_model_pb2 as pb
