@@ -47,46 +47,84 @@ def _paths(headings: Column) -> Column:
     return F.aggregate(headings, F.array().cast("array<array<string>>"), step)
 
 
+def _running(sizes: Column) -> Column:
+    """The sum before each of the sizes.  Sums of groups first, then inside the groups, so the work grows as the power 1.5 of their number."""
+    return bind(sizes, _running_of)
+
+
+def _running_of(sizes: Column) -> Column:
+    n = F.size(sizes)
+    wide = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+
+    def sums(wide: Column) -> Column:
+        part = lambda at, size: F.aggregate(F.slice(sizes, at + 1, size), F.lit(0).cast("long"), lambda s, x: s + x)
+        groups = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / wide).cast("int")), lambda g: part(g * wide, wide))
+        step = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+        before = F.aggregate(groups, F.array(F.lit(0).cast("long")), step)
+        group = lambda i: F.floor(i / wide).cast("int")
+        return bind(before, lambda b: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(b, group(i)) + part(group(i) * wide, i - group(i) * wide)))
+
+    return F.when(n > 0, bind(wide, sums)).otherwise(F.array().cast("array<bigint>"))
+
+
+EMPTY = "array<struct<kind:string,text:string,start:bigint,end:bigint,heading_path:array<string>,level:int>>"
+
+
+def with_blocks(docs: DataFrame) -> DataFrame:
+    """``docs`` with their blocks in order, as the array ``blocks``, all worked out inside the row: nothing is shuffled.
+
+    Lines become arrays: their texts, kinds and byte offsets.  A paragraph goes from a line of text that follows none to the next that is
+    followed by none; the section of a block is its place among all blocks less its place among those of its kind.
+    """
+    chop = lambda x: F.when(F.endswith(x, F.lit("\r")), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x)
+    pieces = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    rows = docs.withColumn("_raw", F.slice(pieces, F.lit(1), F.size(pieces) - F.when(F.element_at(pieces, -1) == "", 1).otherwise(0)))
+    open_end = F.when(F.endswith(F.coalesce("text", F.lit("")), F.lit("\n")), -1).otherwise(F.size("_raw") - 1)  # the last line keeps its carriage return
+    line = lambda x, i: F.when(i == open_end, x).otherwise(chop(x))
+    rows = rows.withColumns({"_line": F.transform("_raw", line), "_start": _running(F.transform("_raw", lambda x: F.octet_length(x) + 1))})
+
+    def read(x: Column) -> Column:
+        level = F.when(F.contains(x, F.lit("#")), F.length(F.regexp_extract(x, HEADING, 1))).otherwise(0)
+        made = lambda n: F.struct(n.alias("level"), F.when(n > 0, F.regexp_extract(x, HEADING, 2)).alias("title"), ((n == 0) & ~F.regexp_like(x, F.lit(r"(?sU)^\s*$"))).alias("text"))
+        return bind(level, made)
+
+    rows = rows.withColumn("_read", F.transform("_line", read))
+    at = F.when(F.size("_raw") > 0, F.sequence(F.lit(0), F.size("_raw") - 1)).otherwise(F.array().cast("array<int>"))
+    text = lambda i: F.coalesce(F.get("_read", i)["text"], F.lit(False))
+    firsts, lasts = F.filter(at, lambda i: text(i) & ~text(i - 1)), F.filter(at, lambda i: text(i) & ~text(i + 1))
+    # what a lambda uses is bound outside of it: Spark moves a column that is used once into the lambda, which would work it out for each element
+    run = lambda i, p, lasts: F.struct(i.alias("i"), F.get(lasts, p).alias("j"), p.alias("n"), F.lit(False).alias("head"))
+    runs = bind(lasts, lambda ends: F.transform(firsts, lambda i, p: run(i, p, ends)))
+    rows = rows.withColumns({"_runs": runs, "_head": F.filter(at, lambda i: F.get("_read", i)["level"] > 0)})
+    heads = F.transform("_head", lambda i, h: F.struct(i.alias("i"), i.alias("j"), h.alias("n"), F.lit(True).alias("head")))
+    paths = _paths(F.transform("_head", lambda i: F.get("_read", i)))
+    parts = F.array_sort(F.concat("_runs", heads))
+
+    def block(x: Column, k: Column, paths: Column, start: Column) -> Column:
+        own = F.get("_read", x["i"])
+        lines_ = F.concat(F.slice("_raw", x["i"] + 1, x["j"] - x["i"]), F.array(F.get("_line", x["j"])))
+        section = F.when(x["head"], x["n"]).otherwise(k - x["n"] - 1)
+        return F.struct(
+            F.when(x["head"], "heading").otherwise("paragraph").alias("kind"),
+            F.when(x["head"], own["title"]).otherwise(F.array_join(lines_, "\n")).alias("text"),
+            F.get(start, x["i"]).alias("start"),
+            (F.get(start, x["j"]) + F.octet_length(F.get("_line", x["j"]))).alias("end"),
+            F.coalesce(F.get(paths, section), F.array().cast("array<string>")).alias("heading_path"),
+            F.when(x["head"], own["level"]).alias("level"),
+        )
+
+    every = bind(paths, lambda ps: bind(F.col("_start"), lambda start: F.transform(parts, lambda x, k: block(x, k, ps, start))))
+    made = F.coalesce(every, F.array()).cast(EMPTY)
+    # through a generator of one row, beyond which no expression is moved, so that each field of a block does not have all blocks worked out anew
+    return rows.select(F.inline(F.array(F.struct(*[F.col(c) for c in docs.columns if c != "blocks"], made.alias("blocks")))))
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """Blocks of each document: index, kind, text, byte range, heading path and level.
 
-    ``docs`` has ``doc_id``, one row each, and ``text``; a null or empty text has no blocks.
+    ``docs`` has ``doc_id`` and ``text``; a null or empty text has no blocks.
     """
-    title = F.regexp_extract("line", HEADING, 2)
-    rows = lines(docs).withColumns({"level": F.length(F.regexp_extract("line", HEADING, 1)), "title": title})
-    kind = F.when(F.col("level") > 0, "heading").when(F.regexp_like("line", F.lit(r"(?sU)^\s*$")), "blank").otherwise("paragraph")
-    upto = Window.partitionBy("doc_id").orderBy("line_ix")
-    rows = rows.withColumn("kind", kind).withColumns(
-        {
-            "island": F.sum((F.col("kind") != "paragraph").cast("int")).over(upto),
-            "section": F.sum((F.col("kind") == "heading").cast("int")).over(upto),
-        }
-    )
-    rows = rows.where("kind <> 'blank'")
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_ix", "raw"))), lambda x: x["raw"]), "\n")
-    found = rows.groupBy("doc_id", "island", "kind").agg(
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        body.alias("body"),
-        F.max("title").alias("title"),
-        F.max("level").alias("level"),
-        F.max("section").alias("section"),
-    )
-    paragraph = F.when(F.octet_length("body") > F.col("end") - F.col("start"), F.expr("substring(body, 1, length(body) - 1)")).otherwise(F.col("body"))
-    heads = rows.where("kind = 'heading'").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_ix", "level", "title"))).alias("h"))
-    paths = heads.select("doc_id", F.posexplode(_paths(F.col("h"))).alias("section", "heading_path")).withColumn("section", F.col("section") + 1)
-    out = found.join(paths, ["doc_id", "section"], "left")
-    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1
-    return out.select(
-        "doc_id",
-        index.alias("block_ix"),
-        "kind",
-        F.when(F.col("kind") == "heading", F.col("title")).otherwise(paragraph).alias("text"),
-        "start",
-        "end",
-        F.coalesce("heading_path", F.array().cast("array<string>")).alias("heading_path"),
-        F.when(F.col("kind") == "heading", F.col("level")).alias("level"),
-    )
+    return with_blocks(docs.select("doc_id", "text")).select("doc_id", F.posexplode("blocks").alias("block_ix", "b")).select("doc_id", "block_ix", "b.*")
 
 
 def _ends(text: Column, data: Column, most: int) -> Column:
@@ -111,53 +149,49 @@ def _ends(text: Column, data: Column, most: int) -> Column:
     return F.when(n == F.length(text), even).otherwise(F.aggregate(steps, F.array().cast("array<int>"), step))
 
 
-def _windows(rows: DataFrame, most: int, base: Column, keep: list[str]) -> DataFrame:
-    """Windows of the column ``text`` of each row; ``base`` is added to offsets.  They are cut inside the row, from its bytes."""
+def windows(text: Column, most: int) -> Column:
+    """The byte windows of a text as (``text``, ``a``, ``b``), cut inside the row from its bytes; none of an empty text."""
     if most <= 0:
-        return rows.limit(0).select(*keep, F.lit(0).alias("_ix"), "text", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
-    text = F.col("text")
+        return F.array().cast("array<struct<text:string,a:int,b:int>>")
 
     def cut(data: Column, ends: Column) -> Column:
         start = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
         part = lambda e, i: F.decode(F.substring(data, start(i) + 1, e - start(i)), "utf-8")
         return F.transform(ends, lambda e, i: F.struct(part(e, i).alias("text"), start(i).alias("a"), e.alias("b")))
 
-    pieces = bind(F.encode(text, "utf-8"), lambda data: bind(_ends(text, data, most), lambda ends: cut(data, ends)))
-    rows = rows.where(F.octet_length("text") > 0).select(*keep, base.alias("_base"), F.posexplode(pieces).alias("_ix", "_p"))
-    return rows.select(*keep, "_ix", F.col("_p.text").alias("text"), (F.col("_base") + F.col("_p.a")).cast("long").alias("start"), (F.col("_base") + F.col("_p.b")).cast("long").alias("end"))
+    return F.when(F.octet_length(text) > 0, bind(F.encode(text, "utf-8"), lambda data: bind(_ends(text, data, most), lambda ends: cut(data, ends))))
 
 
 def chunk_fixed(docs: DataFrame, most: int) -> DataFrame:
     """Byte windows of whole documents; a limit of 0 gives none."""
-    return _windows(docs, most, F.lit(0), ["doc_id"]).withColumnRenamed("_ix", "chunk_ix")
+    rows = docs.select("doc_id", F.posexplode(windows(F.col("text"), most)).alias("chunk_ix", "w"))
+    return rows.select("doc_id", "chunk_ix", "w.text", F.col("w.a").cast("long").alias("start"), F.col("w.b").cast("long").alias("end"))
 
 
-def _fallback(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Documents with text but without a paragraph."""
-    return docs.where(F.octet_length("text") > 0).join(paragraphs.select("doc_id").distinct(), "doc_id", "left_anti")
+def _paragraphs(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and the array ``p`` of a document's paragraphs; of one without, the whole text as one."""
+    rows = with_blocks(docs.select("doc_id", "text")).withColumn("p", F.filter("blocks", lambda b: b["kind"] == "paragraph"))
+    whole = F.struct(
+        F.lit("paragraph").alias("kind"), F.col("text"), F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end"),
+        F.array().cast("array<string>").alias("heading_path"), F.lit(None).cast("int").alias("level"),
+    )
+    return rows.select("doc_id", F.when(F.size("p") > 0, F.col("p")).when(F.octet_length("text") > 0, F.array(whole)).alias("p"))
 
 
 def chunk_recursive(docs: DataFrame, most: int) -> DataFrame:
     """Paragraphs of at most ``most`` bytes whole, longer ones in windows; without paragraphs, windows of the document."""
-    paragraphs = blocks(docs).where("kind = 'paragraph'")
-    path = F.array().cast("array<string>")
-    rest = _fallback(docs, paragraphs).select("doc_id", F.lit(0).alias("start"), path.alias("heading_path"), "text")
-    rows = paragraphs.select("doc_id", "start", "heading_path", "text").union(rest).withColumn("_first", F.col("start"))
-    found = _windows(rows, most, F.col("start"), ["doc_id", "heading_path"])
-    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1
-    return found.select("doc_id", index.alias("chunk_ix"), "text", "start", "end", "heading_path")
+    cut = lambda p: F.transform(
+        windows(p["text"], most),
+        lambda w: F.struct(w["text"].alias("text"), (p["start"] + w["a"]).alias("start"), (p["start"] + w["b"]).alias("end"), p["heading_path"].alias("heading_path")),
+    )
+    rows = _paragraphs(docs).select("doc_id", F.posexplode(F.flatten(F.transform("p", cut))).alias("chunk_ix", "c"))
+    return rows.select("doc_id", "chunk_ix", "c.*")
 
 
 def chunk_heading(docs: DataFrame) -> DataFrame:
     """One chunk for each paragraph with its heading path; without paragraphs, the whole document."""
-    paragraphs = blocks(docs).where("kind = 'paragraph'")
-    path = F.array().cast("array<string>")
-    whole = _fallback(docs, paragraphs).select(
-        "doc_id", "text", F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end"), path.alias("heading_path")
-    )
-    rows = paragraphs.select("doc_id", "text", "start", "end", "heading_path").union(whole)
-    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1
-    return rows.withColumn("chunk_ix", index)
+    rows = _paragraphs(docs).select("doc_id", F.posexplode("p").alias("chunk_ix", "c"))
+    return rows.select("doc_id", "c.text", "c.start", "c.end", "c.heading_path", "chunk_ix")
 
 
 def format_of(docs: DataFrame) -> DataFrame:
