@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import glob
+import hashlib
+import math
 import os
+from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from test_tables import WORD, plain_measures, plain_targets
+from test_texts import plain_groups, plain_print
 
 from quern.llm import classifier, mixing, nndescent, rules, simhash
 
@@ -126,6 +134,85 @@ def test_pipeline(spark):
     assert last.columns == ["doc_id", "source", "ids"] and last.count() == mixed.count()
 
 
+def plain_score(model: classifier.Model, text: str | None) -> float:
+    """Votes of the nearest labelled vectors, one cosine at a time."""
+    x = classifier.Terms().counts((text or "").encode())
+    if not x.any():
+        return 0.0
+    v = (x.astype(np.float64) - model.mean) @ model.axes.astype(np.float64)
+    near = sorted(((float(v @ w) / max(float(np.linalg.norm(v)), 1e-9), float(y)) for w, y in zip(model.vectors.astype(np.float64), model.labels)), reverse=True)
+    weights = [(max(c, 1e-6) ** 4, y) for c, y in near[: classifier.NEIGHBOURS]]
+    return sum(w * y for w, y in weights) / sum(w for w, _ in weights)
+
+
+def test_votes_one_by_one(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    model = classifier.quality_model(spark, SMALL)
+    for r in classifier.score(docs, model).collect():
+        assert abs(r["score"] - plain_score(model, r["text"])) < 1e-3, r["doc_id"]
+
+
+def plain_kept(text: str | None) -> bool:
+    n, chars, symbols, repeated, covered = plain_measures(text)
+    words = WORD.findall(text or "")
+    lines = sum(1 for x in (text or "").split("\n") if WORD.search(x))
+    stops = sum(w.lower() in rules.STOP_WORDS for w in words)
+    if n < 50 or 100 * covered > 50 * n:
+        return False
+    return 2.5 <= chars / n <= 15 and symbols / n <= 0.3 and stops >= 2 and stops / n >= 0.02 and repeated / lines <= 0.5
+
+
+def plain_mix(docs: list) -> list:
+    """Documents as often as the mix takes them: whole rounds of a source, and those of its least hashes for what is left of its target."""
+    size = lambda d: len(WORD.findall(d["text"] or ""))
+    total = Counter()
+    for d in docs:
+        total[d["source"]] += size(d)
+    out = []
+    for source, target in plain_targets(dict(total)).items():
+        own = sorted((int(hashlib.md5(str(d["doc_id"]).encode()).hexdigest()[:15], 16), size(d), i) for i, d in enumerate(docs) if d["source"] == source)
+        whole = math.floor(target / total[source]) if total[source] else 0
+        left, run, last = target - whole * total[source], 0, -1
+        for at, (_, w, _) in enumerate(own):
+            if run < left or run == 0:
+                last, before = at, run
+            run += w
+        part = {own[j][2] for j in range(last + (2 * (left - before) >= own[last][1]))}
+        for _, _, i in own:
+            out += [docs[i]] * min(3, whole + (i in part))
+    return out
+
+
+def test_pipeline_against_plain_stages(spark):
+    """run()'s rows against one plain version of each of the five stages."""
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert docs.select("doc_id").distinct().count() == docs.count()
+    model = classifier.quality_model(spark, SMALL, docs)
+    rows = [d for d in docs.collect() if plain_score(model, d["text"]) >= classifier.THRESHOLD]
+    rows = [d for d in rows if plain_kept(d["text"])]
+    label = plain_groups([plain_print(d["text"]) for d in rows])
+    least: dict = {}
+    for d, g in zip(rows, label, strict=True):
+        if g not in least or d["doc_id"] < least[g]["doc_id"]:
+            least[g] = d
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    expected = Counter((d["doc_id"], d["source"], tuple(sp.encode(d["text"] or ""))) for d in plain_mix(list(least.values())))
+    got = Counter((r["doc_id"], r["source"], tuple(r["ids"])) for r in pipeline.run(spark, SMALL).collect())
+    assert len(expected) > 20 and got == expected
+
+
+def test_stages_of_nothing(spark):
+    """Empty documents go through every stage, and columns of other names are left behind."""
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("root", F.lit(1)).limit(0)
+    for i, (_, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, docs, SMALL)
+        assert out.count() == 0 and (i == len(pipeline.STAGES) - 1 or out.columns == pipeline.COLUMNS)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
