@@ -1,7 +1,8 @@
 """The corpus pipeline: quality classifier, quality rules, near-duplicates, mixing, pieces.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and reread as the next stage's
-``docs``.  All but the last return the columns of documents.
+``docs``.  All but the last return the columns of documents; other columns, whatever their names, are left behind.  Empty documents go through
+every stage.
 """
 
 from __future__ import annotations
@@ -16,29 +17,32 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labelled among them, scores at its threshold or above."""
+    """Documents that the quality classifier, fitted on the labelled among them, scores at its threshold or above.
+
+    Null texts, and texts without words, score 0 and go.  Repeated rows are scored each.  Without labels every score is 0.5, and all go.
+    """
     model = classifier.quality_model(spark, sf_dir, docs)
     scored = classifier.score(docs.select(COLUMNS), model, name="_quality")
     return scored.where(F.col("_quality") >= classifier.THRESHOLD).select(COLUMNS)
 
 
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the threshold table."""
+    """Documents that pass the base rule and the threshold table; null and empty texts don't, repeated rows are judged each."""
     return rules.keep(docs.select(COLUMNS))
 
 
 def by_fingerprint(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least identifier, of each group of near-duplicates."""
+    """One document, that of the least identifier, null last, of each group of near-duplicates; repeated rows are one group."""
     return simhash.keep_one(docs.select(COLUMNS))
 
 
 def by_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: none to three times."""
+    """Each document as often as the mix takes it: none to three times.  A null source is one of its own; rows of one identifier go together."""
     return mixing.mixed(docs.select(COLUMNS))
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Identifier, source and piece ids of each document."""
+    """Identifier, source and piece ids of each document; a null or empty text has none."""
     import public_tokenizers
 
     return pieces.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
