@@ -15,6 +15,11 @@ def invert(edits: DataFrame) -> DataFrame:
     return edits.select("doc_id", op.alias("op"), "at", F.col("new").alias("old"), F.col("old").alias("new"))
 
 
+def applied(after: DataFrame, edits: DataFrame) -> DataFrame:
+    """The edits that :func:`apply`, whose result is ``after``, did: only these have something to undo."""
+    return edits.join(after.where("error is not null").select("doc_id").distinct(), "doc_id", "left_anti")
+
+
 def apply(blocks: DataFrame, edits: DataFrame) -> DataFrame:
     """``blocks`` (``doc_id``, ``block_ix``, ``text``) after the edits, with ``dirty`` for changed blocks and ``error``.
 

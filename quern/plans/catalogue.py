@@ -210,7 +210,8 @@ def decode_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edit_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, made = _edits(spark, sf_dir)
-    return edits.apply(edits.apply(found, made), edits.invert(made)).select("doc_id", "block_ix", "text", "error")
+    once = edits.apply(found, made)
+    return edits.apply(once, edits.invert(edits.applied(once, made))).select("doc_id", "block_ix", "text", "error")
 
 
 def edit_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,7 +401,7 @@ SELECT conv_id, turn, CASE k WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' ELSE '
   CASE WHEN bad THEN 'error' WHEN k = 1 THEN 'end_turn' ELSE 'stop' END AS stop_reason, CASE WHEN NOT bad AND k = 1 THEN 3::BIGINT END AS input_tokens,
   CASE WHEN NOT bad THEN length(text) END AS output_tokens, CASE WHEN NOT bad THEN length(text) + CASE WHEN k = 1 THEN 3 ELSE 0 END END AS total_tokens,
   CASE WHEN bad THEN 'busy' END AS error FROM a""",
-    "edit_inverse": f"""WITH RECURSIVE {_BLOCKS} SELECT doc_id, block_ix, text, CASE WHEN doc_id % 10 = 9 AND doc_id % 3 <> 1 THEN 'the old text differs' END AS error FROM blocks""",
+    "edit_inverse": f"WITH RECURSIVE {_BLOCKS} SELECT doc_id, block_ix, text, NULL::VARCHAR AS error FROM blocks",
     "edit_apply": f"""WITH RECURSIVE {_BLOCKS}, e AS (SELECT doc_id, block_ix, text, doc_id % 3 AS op, (doc_id // 3) % 3 AS pos, doc_id % 10 = 9 AND doc_id % 3 <> 1 AS bad FROM blocks),
 r AS (SELECT doc_id, block_ix + CASE WHEN NOT bad AND op = 1 AND block_ix >= pos THEN 1 WHEN NOT bad AND op = 2 AND block_ix > pos THEN -1 ELSE 0 END AS block_ix,
   CASE WHEN NOT bad AND op = 0 AND block_ix = pos THEN 'new text' ELSE text END AS text, NOT bad AND op = 0 AND block_ix = pos AS dirty, bad FROM e WHERE bad OR op <> 2 OR block_ix <> pos
