@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,15 @@ def durable(df: DataFrame, name: str, partition_by: list[str] | None = None, rec
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_place(docs: DataFrame) -> DataFrame:
+    """``docs`` as stored files, with each row's place in them: ``_file``, the hash of a file's path, and ``_row``, the row's number there."""
+    file, row = F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    try:
+        return docs.select("*", file, row)
+    except AnalysisException:  # no table of files
+        return durable(docs, "docs").select("*", file, row)
+
+
 def word_array(text: Column) -> Column:
     """The words of ``text`` in order; null gives an empty array."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -20,12 +20,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, table
+from .common import durable, table, with_place
 from .components import connected_components
 
 SEED = 42
@@ -185,15 +184,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     return rows.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _with_place(docs: DataFrame) -> DataFrame:
-    """``docs`` as stored files, with each row's place in them: the hash of a file's path, and the row's number there."""
-    file, row = F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
-    try:
-        return docs.select("*", file, row)
-    except AnalysisException:  # no table of files
-        return durable(docs, "simhash-docs").select("*", file, row)
-
-
 def keep_one(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """One row of each near-duplicate group, with all its columns: that of the least identifier, null last.
 
@@ -202,7 +192,7 @@ def keep_one(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> Data
     shuffled: the rows to leave out are an anti-join, which Spark broadcasts while their table is small, and sorts by place beyond.
     The names ``_file`` and ``_row`` must be free.
     """
-    placed = _with_place(docs)
+    placed = with_place(docs)
     rows = placed.select(F.col(ident).alias("doc_id"), fingerprints(F.col(text)).alias("fp"), "_file", "_row")
     rows = durable(rows, "simhash-rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_file", "_row")

@@ -250,6 +250,30 @@ def test_pieces(spark, docs, none):
     assert pieces.encode(none.drop("ids"), PIECES).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["abcXYZ  0189.,-_()'\"{}/\n\té日ñ².½▁\x01\r;", "ab ▁.,é\n", "xyzéñ"])
+def test_no_piece_crosses_a_cut(letters):
+    """Words merged one by one give the ids of the whole text."""
+    m, sp, pick = pieces.merger(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(7)
+    for _ in range(3000):
+        text = "".join(pick.choices(letters, k=pick.randint(1, 40)))
+        assert np.frombuffer(b"".join(map(m.alone, m.cut(text))), dtype=np.int32).tolist() == sp.encode(text)
+
+
+def test_pieces_over_many_blocks(spark, docs, monkeypatch):
+    """Blocks of a few rows, long texts in their own, columns of the names used inside."""
+    monkeypatch.setattr(pieces, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(pieces, "LATTICE_WORDS", 50)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = docs.drop("ids").withColumns({"asked": F.lit("x"), "words": F.lit(None).cast("array<string>"), "word": F.lit(1)})
+    out = pieces.encode(rows, PIECES).collect()
+    assert Counter((r["doc_id"], r["text"], r["h"]) for r in out) == Counter((r["doc_id"], r["text"], r["h"]) for r in docs.collect())
+    assert all(r["ids"] == sp.encode(r["text"] or "") for r in out)
+    got = pieces.digest(rows, PIECES)
+    assert got.count() == len(out) and got.where("n_pieces IS NULL OR NOT round_trip").count() == 0
+    with pytest.raises(ValueError):
+        pieces.encode(docs, PIECES)
+
+
 def test_merges_in_the_lattice(spark, docs, none):
     """The relational lattice with its merge fold against the library, for the words of the documents and hard ones."""
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
