@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import random
 import re
 import time
 import zlib
