@@ -8,32 +8,39 @@ edges are grouped by word, and a Spark higher-order fold picks the path.  For a
 set of cuts in the word, and each step takes out the cut inside the edge of least rank, leftmost first, that spans two neighbouring pieces.  For a
 unigram model, :func:`viterbi`, it is the best score at each place.
 
-Documents are encoded by :func:`encode` in blocks of neighbouring rows.  Each block asks for its distinct words once, all words asked for go
-through the lattice once, and the answers meet the block's documents again in one exchange.  The ids are exactly those of the SentencePiece library.
+Documents are encoded by :func:`encode`.  The words of all documents are counted, the frequent ones, a table of bounded size, go through the lattice and
+are broadcast with their ids; the rest, each of them in few documents, get the same merges beside their documents: a batch's new words become matrices of
+symbols, and all words of a matrix are merged side by side.  So no text and no ids are shuffled.  README has the figures of the lattice for all
+words.  The ids are exactly those of the SentencePiece library.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, table, with_place
+from .common import durable, table
 
 SPACE = "▁"
 #: White space that cuts words where no piece joins it to anything.
 BREAKS = "\t\n\x0b\f\r"
-#: Words of up to so many characters go through the lattice, whose cuts are the bits of a long; longer ones are merged by a queue.
+#: Words of up to so many characters go through the lattice, whose cuts are the bits of a long.
 LONGEST = 62
-#: Bytes of text in a block, on average, and its largest number of rows; words in a partition of the lattice.
-BLOCK_BYTES, BLOCK_ROWS, LATTICE_WORDS = 1 << 22, 4096, 60_000
+#: The lattice's words are the most frequent, up to so many: some 10 MB with their ids.
+FREQUENT = 1 << 17
+#: Other words of up to so many characters are merged in matrices, longer ones by a queue; words that a worker remembers besides the frequent.
+WIDE, REMEMBERED = 32, 400_000
 #: SentencePiece's penalty of an unknown character below the least score of a unigram model.
 UNKNOWN_PENALTY = 10.0
 
@@ -77,6 +84,8 @@ def _cuts(joined: list[str]) -> str:
 class Merger:
     """Words of a BPE model with byte fallback: where texts are cut, the ids of words too long for the lattice, and ids read back."""
 
+    NONE = np.int32(2**31 - 1)
+
     def __init__(self, path: str):
         self.pieces, kind, self.unknown = read_model(path)
         if kind != 2:
@@ -89,7 +98,10 @@ class Merger:
         for p, _, _ in usable:  # characters that only occur inside pieces
             for c in p:
                 symbol.setdefault(c, len(symbol) + self.n)
-        self.of_char = {ord(p): i for p, i in symbol.items() if len(p) == 1}
+        self.of_char = np.full(0x110000, -1, dtype=np.int64)
+        for p, i in symbol.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = i
         order = sorted({s for _, s, _ in usable}, reverse=True)
         place = {s: r for r, s in enumerate(order)}
         self.base = max(symbol.values()) + 2
@@ -100,8 +112,49 @@ class Merger:
                 if a is not None and b is not None:
                     pairs[a * self.base + b] = (place[s], i)
         self.pairs = pairs
+        self.keys = np.array(sorted(pairs), dtype=np.int64)
+        self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], dtype=np.int32)
+        self.made = np.array([pairs[k][1] for k in self.keys.tolist()], dtype=np.int64)
         self.words = re.compile(_cuts([p for p, _, _ in usable if len(p) > 1]))
         self.inside = {i: c for c, i in symbol.items() if i >= self.n}
+        self.frequent: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged symbol of pairs; NONE where they make no piece."""
+        key = a * self.base + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = (self.keys[at] == key) & (a >= 0) & (b >= 0)
+        return np.where(hit, self.ranks[at], self.NONE), self.made[at]
+
+    def _matrix(self, chars: np.ndarray) -> np.ndarray:
+        """Merge rows of symbols side by side; -1 pads at the end, unknown characters are -2 - code point."""
+        rows = chars.copy()
+        rank, made = self._look(rows[:, :-1], rows[:, 1:])
+        live = np.arange(len(rows))
+        while len(live):
+            r = rank[live]
+            best = r.argmin(axis=1)
+            on = r[np.arange(len(live)), best] != self.NONE
+            live, best = live[on], best[on]
+            if not len(live):
+                break
+            x, k, m = rows[live], rank[live], made[live]
+            i = np.arange(len(live))
+            x[i, best] = m[i, best]
+            width = x.shape[1]
+            step = np.arange(width - 1)[None, :]
+            x = np.concatenate([np.take_along_axis(x, step + (step > best[:, None]), axis=1), np.full((len(x), 1), -1)], axis=1)
+            step = np.arange(width - 1)[None, :]
+            keep = np.minimum(step + (step > best[:, None]), width - 2)
+            k, m = np.take_along_axis(k, keep, axis=1), np.take_along_axis(m, keep, axis=1)
+            k[:, -1] = self.NONE
+            for at in (best - 1, best):
+                ok = (at >= 0) & (at < width - 1)
+                j, c = i[ok], at[ok]
+                k[j, c], m[j, c] = self._look(x[j, c], x[j, c + 1])
+            rows[live], rank[live], made[live] = x, k, m
+        return rows
 
     def _queue(self, chars: list[int]) -> list[int]:
         """Merge one word with a queue of pairs, in the order of the lattice."""
@@ -127,20 +180,62 @@ class Merger:
             ask(i, right[i])
         return [c for c, g in zip(chars, gone, strict=True) if not g]
 
-    def alone(self, word: str) -> bytes:
-        """The ids of a word too long for the lattice."""
+    def _ids(self, symbols: list[int]) -> bytes:
         out: list[int] = []
-        for s in self._queue([self.of_char.get(ord(c), -2 - ord(c)) for c in word.replace(" ", SPACE)]):
+        for s in symbols:
             if 0 <= s < self.n:
                 out.append(s)
             else:  # a character that is no piece
                 out += [self.byte[b] for b in (chr(-s - 2) if s < 0 else self.inside[s]).encode()]
         return np.array(out, dtype=np.int32).tobytes()
 
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Remember the ids of new words; those too long to remember are returned."""
+        extra: dict[str, bytes] = {}
+        groups: dict[int, list[str]] = {}
+        for w in words:
+            groups.setdefault(next((n for n in (8, 12, 16, WIDE) if len(w) <= n), 0), []).append(w)
+        for width, group in groups.items():
+            text = "".join(group).replace(" ", SPACE)
+            points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+            symbols = self.of_char[points]
+            symbols = np.where(symbols < 0, -2 - points, symbols)
+            sizes = np.fromiter(map(len, group), dtype=np.int64, count=len(group))
+            ends = np.cumsum(sizes)
+            if not width:
+                for w, a, z in zip(group, (ends - sizes).tolist(), ends.tolist(), strict=True):
+                    (self.known if len(w) <= LONGEST else extra)[w] = self._ids(self._queue(symbols[a:z].tolist()))
+                continue
+            rows = np.full((len(group), width), -1, dtype=np.int64)
+            where = np.repeat(np.arange(len(group)), sizes)
+            rows[where, np.arange(len(symbols)) - np.repeat(ends - sizes, sizes)] = symbols
+            rows = self._matrix(rows)
+            plain = ((rows >= -1) & (rows < self.n)).all(axis=1)
+            counts = (rows != -1).sum(axis=1)
+            flat = rows[rows != -1]
+            stops = np.cumsum(counts)
+            ids = flat.astype(np.int32).tobytes()
+            for w, a, z, fine in zip(group, (stops - counts).tolist(), stops.tolist(), plain.tolist(), strict=True):
+                self.known[w] = ids[4 * a : 4 * z] if fine else self._ids(flat[a:z].tolist())
+        return extra
+
     def cut(self, text: str | None) -> list[str]:
         """The words of a text, with the space that the library puts before it; a space mark in the text is a space to it."""
         return self.words.findall(" " + text.replace(SPACE, " ")) if text else []
 
+    def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in turn."""
+        for at in range(0, len(texts), 256):
+            words = [self.cut(t) for t in texts[at : at + 256]]
+            new = [w for w in set().union(*words) if w not in self.frequent]
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+            extra = self.learn([w for w in new if w not in self.known])
+            tables = (self.frequent, self.known, extra)
+            ids = {w: next(t[w] for t in tables[1:] if w in t) for w in new}
+            for w in words:
+                yield np.frombuffer(b"".join([self.frequent[x] if x in self.frequent else ids[x] for x in w]), dtype=np.int32)
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes joined, the space mark read as a space, the space before the text removed."""
         text = b"".join(self._spelt()[i] for i in ids.tolist()).decode(errors="replace")
@@ -156,77 +251,81 @@ class Merger:
 _MERGERS: dict[str, Merger] = {}
 
 
-def merger(path: str) -> Merger:
+def merger(path: str, frequent: Broadcast | None = None) -> Merger:
+    """The merger of a model, one a worker; with the ids of frequent words, where these are given."""
     if path not in _MERGERS:
         _MERGERS[path] = Merger(path)
+    if frequent is not None:
+        _MERGERS[path].frequent = frequent.value
     return _MERGERS[path]
 
 
-def _asking(model: str):
-    """The distinct words of each block, as far as a batch of documents has them."""
+def _counting(model: str):
+    """How often a batch of documents has each word that the lattice can take."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(model)
         for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])) if len(blocks) else []
-            for a, z in zip(starts, [*starts[1:], len(blocks)], strict=True):
-                met: set[str] = set()
-                for t in batch.column(1).slice(a, z - a):
-                    met.update(m.cut(t.as_py()))
-                words = [w for w in met if len(w) <= LONGEST]
-                yield pa.RecordBatch.from_arrays([pa.array(blocks[a : a + 1]), pa.array([words], pa.list_(pa.string()))], ["_block", "words"])
+            counts: Counter[str] = Counter()
+            for t in batch.column(0):
+                counts.update(m.cut(t.as_py()))
+            found = [(w, n) for w, n in counts.items() if len(w) <= LONGEST]
+            for at in range(0, len(found), 65_536):
+                words, n = zip(*found[at : at + 65_536], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], ["asked", "n"])
 
     return run
 
 
-def _by_block(docs: DataFrame, model: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with the block of each row, ``_block``; and the ids of each block's words: ``_block``, ``asked``, ``ids``."""
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    placed = with_place(docs)
-    rows, total = placed.agg(F.count(F.lit(1)), F.sum(size)).first()
-    per = max(1, min(BLOCK_ROWS, BLOCK_BYTES * rows // max(1, total or 0)))
-    several = F.xxhash64("_file", F.floor(F.col("_row") / per))
-    block = F.when(size > BLOCK_BYTES // 8, F.xxhash64("_file", "_row", F.lit("long"))).otherwise(several)
-    placed = placed.withColumn("_block", block).drop("_file", "_row")
-    told = durable(placed.select("_block", F.col(text).alias("text")).mapInArrow(_asking(model), "_block long, words array<string>"), "pieces-asked")
-    asked = told.select("_block", F.explode("words").alias("asked")).withColumn("word", F.translate("asked", " ", SPACE))
-    n = told.agg(F.sum(F.size("words"))).first()[0] or 0
-    words = asked.select("word").distinct().repartition(max(1, -(-n // LATTICE_WORDS)), "word")
-    return placed, asked.join(_lattice(words, model), "word").select("_block", "asked", "ids")
-
-
-def _answered(m: Merger, texts: pa.ChunkedArray, answers: pa.Table) -> Iterator[np.ndarray]:
-    """The ids of each text of a block, in turn."""
-    ids = answers.column("ids").combine_chunks()
+def frequent_words(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """The most frequent words of a text column, at most ``FREQUENT``, and their piece ids by the lattice: ``asked``, ``ids``.
+
+    Counts are exact and cover all rows.  Words are taken by classes of nearly equal counts while all of a class still fits, so nothing is sorted.
+    """
+    counts = docs.select(F.col(text).alias("text")).mapInArrow(_counting(model), "asked string, n long").groupBy("asked").agg(F.sum("n").alias("n"))
+    counts = durable(counts.withColumn("class", F.floor(8 * F.log2("n"))), "pieces-words")
+    classes = sorted(counts.groupBy("class").count().collect(), reverse=True)
+    fits = [c["class"] for c, total in zip(classes, accumulate(c["count"] for c in classes), strict=True) if total <= FREQUENT]
+    taken = counts.where(F.col("class") >= (fits[-1] if fits else float("inf")))
+    taken = taken.select("asked", F.translate("asked", " ", SPACE).alias("word"))
+    ids = _lattice(taken.repartition(64, "word"), model)
+    return taken.join(ids, "word").select("asked", "ids")
+
+
+def _frequent(docs: DataFrame, model: str, text: str) -> Broadcast:
+    """The ids of frequent words, at most ``FREQUENT``, on every executor."""
+    found = frequent_words(docs, model, text).toArrow()
+    ids = found.column("ids").combine_chunks()
     flat = np.asarray(ids.flatten(), dtype=np.int32).tobytes()
     ends = np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths(), dtype=np.int64))]) * 4
-    known = {w: flat[a:z] for w, a, z in zip(answers.column("asked").to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False)}
-    for t in texts:
-        words = m.cut(t.as_py())
-        yield np.frombuffer(b"".join(known[w] if len(w) <= LONGEST else m.alone(w) for w in words), dtype=np.int32)
+    told = {w: flat[a:z] for w, a, z in zip(found.column("asked").to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False)}
+    return docs.sparkSession.sparkContext.broadcast(told)
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", name: str = "ids") -> DataFrame:
     """``docs`` with the piece ids of a text in a column, by a BPE model file that every executor has.
 
-    A null or empty text has no ids.  Repeated rows are encoded each; an empty table gives an empty result.  A block holds some 4 MB of text, a
-    longer text than an eighth of that is a block of its own, so a task's memory is bounded by the blocks and the longest text.  Words of more than
-    62 characters are merged by a queue beside the document, in time that grows little faster than their length.  A column of that name in ``docs`` is an
-    error, and so are ``_block``, ``_file`` and ``_row``.
+    A null or empty text has no ids.  Repeated rows are encoded each.  Very long words are merged with a queue, in time that
+    grows little faster than their length.  A column of that name in ``docs`` is an error.
     """
-    if clash := {name, "_block", "_file", "_row"} & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    if name in docs.columns:
+        raise ValueError(f"a column {name} exists already")
+    frequent = _frequent(docs, model, text)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = list(_answered(merger(model), left.column(text), right))
-        ends = np.cumsum([0, *map(len, ids)])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *ids])))
-        return left.drop_columns(["_block"]).append_column(name, lists)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = merger(model, frequent)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # a worker holds the ids of a few documents, not of a batch
+                batch = whole.slice(at, 256)
+                texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+                ids = list(m.batch(texts))
+                ends = np.cumsum([0, *map(len, ids)])
+                flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, name])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
-    rows, answers = _by_block(docs, model, text)
-    return rows.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -247,19 +346,21 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
     ``doc_id`` and ``text`` take no part.
     """
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = merger(model)
-        counts, sums, same = [], [], []
-        for t, ids in zip(left.column("text"), _answered(m, left.column("text"), right), strict=True):
-            counts.append(len(ids))
-            sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-            same.append(m.decode(ids) == (t.as_py() or "").replace(SPACE, " "))
-        columns = [left.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())]
-        return pa.table(columns, ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
-
-    rows, answers = _by_block(docs.select("doc_id", "text"), model, "text")
-    schema = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean"
-    return rows.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(run, schema)
+    frequent = _frequent(docs, model, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = merger(model, frequent)
+        for batch in batches:
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            counts, sums, same = [], [], []
+            for t, ids in zip(texts, m.batch(texts), strict=True):
+                counts.append(len(ids))
+                sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                same.append(m.decode(ids) == t.replace(SPACE, " "))
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
 
 
 def piece_table(spark: SparkSession, model: str) -> DataFrame:

@@ -253,19 +253,23 @@ def test_pieces(spark, docs, none):
 
 @pytest.mark.parametrize("letters", ["abcXYZ  0189.,-_()'\"{}/\n\té日ñ².½▁\x01\r;", "ab ▁.,é\n", "xyzéñ"])
 def test_no_piece_crosses_a_cut(letters):
-    """Words merged one by one give the ids of the whole text."""
+    """Words merged each for itself give the ids of the whole text."""
     m, sp, pick = pieces.merger(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(7)
     for _ in range(3000):
         text = "".join(pick.choices(letters, k=pick.randint(1, 40)))
-        assert np.frombuffer(b"".join(map(m.alone, m.cut(text))), dtype=np.int32).tolist() == sp.encode(text)
+        assert next(m.batch([text])).tolist() == sp.encode(text)
 
 
-def test_pieces_over_many_blocks(spark, docs, monkeypatch):
-    """Blocks of a few rows, long texts in their own, columns of the names used inside."""
-    monkeypatch.setattr(pieces, "BLOCK_BYTES", 2000)
-    monkeypatch.setattr(pieces, "LATTICE_WORDS", 50)
+@pytest.mark.parametrize("frequent", [0, 20, 1 << 17])
+def test_pieces_of_frequent_words(spark, docs, monkeypatch, frequent):
+    """No, some or all words by the lattice: the same ids; columns of the names used inside."""
+    monkeypatch.setattr(pieces, "FREQUENT", frequent)
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    rows = docs.drop("ids").withColumns({"asked": F.lit("x"), "words": F.lit(None).cast("array<string>"), "word": F.lit(1)})
+    rows = docs.drop("ids").withColumns({"asked": F.lit("x"), "n": F.lit(None).cast("long"), "word": F.lit(1)})
+    words = Counter(w for d in docs.collect() for w in pieces.merger(PIECES).cut(d["text"]) if len(w) <= 62)
+    told = {r["asked"]: r["ids"] for r in pieces.frequent_words(rows, PIECES).collect()}
+    assert len(told) <= frequent and set(told) <= set(words) and (frequent <= 20 or set(told) == set(words))
+    assert not told or min(words[w] for w in told) >= max((n for w, n in words.items() if w not in told), default=0)
     out = pieces.encode(rows, PIECES).collect()
     assert Counter((r["doc_id"], r["text"], r["h"]) for r in out) == Counter((r["doc_id"], r["text"], r["h"]) for r in docs.collect())
     assert all(r["ids"] == sp.encode(r["text"] or "") for r in out)
