@@ -7,10 +7,13 @@ best.  Rounds end when few edges change.
 
 The graph joins nodes of near direction, whatever their norms; the search ranks by inner product, and its start nodes include
 the longest vectors, which every query may want.  A query
-starts at its own node's neighbours and at some nodes that are the same for all, expands the nodes of its beam that it has not
-expanded yet, along edges of either direction, all at once, and ends when the beam no longer changes; scores in the search are
-exact, on the original vectors.  Then a sample of the queries is compared with brute force: while too few of their nearest are
-found, all beams are doubled, more start nodes are added, and the search goes on.  A beam of all nodes starts at all of them.
+starts at its own node's neighbours, expands the nodes of its beam that it has not
+expanded yet, along edges of either direction, all at once, until the beam no longer changes; then it takes those of some start nodes, the
+same for all, that its beam has room for, and goes on.  Start nodes are compared with the beam's last in blocks, so that those behind it
+are never rows.  Scores in the search are
+exact, on the original vectors.  How wide beams are is found on a sample of the queries, which is compared with brute force: while too few of
+their nearest are found, beams are doubled, more start nodes are added, and the search goes on.  The other queries are then searched once, with
+beams of that width.  A beam of all nodes starts at all of them.
 
 All steps are joins and windows on node identifiers; vectors travel to where they are compared, and no task needs
 more than the members of one node or leaf, or one slice of the vectors.
@@ -36,6 +39,8 @@ EDGES, REVERSE, PROPOSE = 40, 40, 8
 LEAF, TABLES, ENOUGH = 800, 2, 0.02
 #: Nodes that a query keeps in its beam at first, and nodes of a slice of the vectors.
 BEAM, SLICE = 80, 16_384
+#: Queries, and start nodes, that are compared in one block.
+BLOCK = 1024
 #: Queries compared with brute force, and the mean recall below which beams are doubled.
 SAMPLE, TARGET = 256, 0.95
 SEED = 7
@@ -169,7 +174,7 @@ def build_graph(nodes: DataFrame, k: int = EDGES) -> DataFrame:
 
 
 def _scores(asked: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-    """Inner products of queries with the nodes of one slice: asked has ``q``, ``x`` and the array ``nodes``."""
+    """Inner products of queries with the nodes of one slice, from the score ``least`` on (null: all): asked has ``q``, ``x``, ``least`` and the array ``nodes``."""
     empty = pd.DataFrame({"q": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64"), "s": pd.Series(dtype="float64")})
     if not len(asked) or not len(vectors):
         return empty
@@ -177,8 +182,10 @@ def _scores(asked: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(ids)
     ids, x = ids[order], np.stack(vectors["x"].to_numpy())[order]
     out = []
-    for q, y, nodes in zip(asked["q"], asked["x"], asked["nodes"], strict=True):
-        out.append(pd.DataFrame({"q": q, "v": nodes, "s": x[np.searchsorted(ids, nodes)] @ np.asarray(y, dtype=np.float64)}))
+    for q, y, least, nodes in zip(asked["q"], asked["x"], asked["least"].to_numpy(dtype=np.float64), asked["nodes"], strict=True):
+        s = x[np.searchsorted(ids, nodes)] @ np.asarray(y, dtype=np.float64)
+        keep = ~(s < least)  # null is NaN here, which nothing is below
+        out.append(pd.DataFrame({"q": q, "v": nodes[keep], "s": s[keep]}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -189,6 +196,29 @@ def _starts(nodes: DataFrame, beam: int) -> DataFrame:
     return longest.union(nodes.select(F.col("node").alias("v")).orderBy(F.xxhash64(F.lit(SEED), "v"), "v").limit(beam)).distinct()
 
 
+def _room(asked: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+    """The start nodes of one block that are not behind the last of a query's beam: asked has ``q``, ``x`` and ``last``, null for a beam with room."""
+    if not len(asked) or not len(starts):
+        return pd.DataFrame({"q": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
+    s = np.stack(asked["x"].to_numpy()) @ np.stack(starts["x"].to_numpy()).T
+    i, j = np.nonzero(~(s < asked["last"].to_numpy(dtype=np.float64)[:, None]))  # null is NaN here, which nothing is behind
+    return pd.DataFrame({"q": asked["q"].to_numpy()[i], "v": starts["v"].to_numpy()[j]})
+
+
+def _entering(vectors: DataFrame, last: DataFrame, starts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The start nodes (``q``, ``v``) that can enter each query's beam, given the score of the ``last`` in it; a query without one takes all.
+
+    Queries and start nodes meet block by block; neither is whole in a task.
+    """
+    starts = durable(starts.join(nodes, F.col("v") == F.col("node")).select("v", "x"), "nn-starts")
+    blocks = [F.lit(max(1, -(-side.count() // BLOCK))).cast("long") for side in (vectors, starts)]
+    block = lambda c, n: F.pmod(F.xxhash64(F.lit(SEED), c), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    asked = vectors.join(last, "q", "left").select("q", "x", "last", block("q", blocks[0]).alias("a"), every(blocks[1]).alias("b"))
+    starts = starts.select("v", "x", block("v", blocks[1]).alias("b"), every(blocks[0]).alias("a"))
+    return asked.groupBy("a", "b").cogroup(starts.groupBy("a", "b")).applyInPandas(_room, "q long, v long")
+
+
 def _exact(names: np.ndarray, asked: np.ndarray, k: int):
     """Of each sampled query the scores of its ``k`` nearest other nodes in one partition."""
 
@@ -207,11 +237,11 @@ def _exact(names: np.ndarray, asked: np.ndarray, k: int):
     return run
 
 
-def _bars(vectors: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """A sample of the queries with the number of their ``k`` nearest (``want``) and the least score of these (``bar``), by brute force."""
-    sample = vectors.orderBy(F.xxhash64(F.lit(SEED), "q"), "q").limit(SAMPLE).collect()
+def _bars(sampled: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """The sampled queries with the number of their ``k`` nearest (``want``) and the least score of these (``bar``), by brute force."""
+    sample = sampled.collect()
     names, asked = np.array([r["q"] for r in sample], dtype=np.int64), np.array([r["x"] for r in sample], dtype=np.float64)
-    exact = nodes.select("node", "x").mapInArrow(_exact(names, asked, k), "q long, s double") if sample else vectors.selectExpr("q", "0D AS s").limit(0)
+    exact = nodes.select("node", "x").mapInArrow(_exact(names, asked, k), "q long, s double") if sample else sampled.selectExpr("q", "0D AS s").limit(0)
     exact = exact.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(F.col("_r") <= k)
     return durable(exact.groupBy("q").agg(F.count(F.lit(1)).alias("want"), F.min("s").alias("bar")), "nn-bars")
 
@@ -224,49 +254,67 @@ def _recall(beams: DataFrame, bars: DataFrame) -> float:
     return bars.join(found, "q", "left").agg(F.coalesce(F.avg(share), F.lit(1.0))).first()[0]
 
 
-def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 20, beam: int | None = None) -> DataFrame:
-    """The beam (``q``, ``v``, ``s``) of each query node in the column ``q``, itself included, by greedy search from its neighbours.
+def _settled(vectors: DataFrame, nodes: DataFrame, around: DataFrame, slices: int, beam: int, seen: DataFrame | None = None) -> DataFrame:
+    """What greedy search sees (``q``, ``v``, ``s``, ``done``, rank ``r`` up to two beams) when the beams of the queries in ``vectors`` no longer change.
 
-    Beams are as wide as a sample of the queries needs to have ``TARGET`` of its ``k`` nearest.
+    With ``seen``, what narrower beams have settled on, the search goes on from there.
     """
-    n = nodes.count()
-    beam = max(beam or BEAM, k)
-    slices = max(1, -(-n // SLICE))
     slice_of = lambda c: F.pmod(F.xxhash64(F.lit(SEED), c), F.lit(slices))
     stored = nodes.withColumn("slice", slice_of(F.col("node")))
-    some = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u", F.lit(SEED))))
-    back = edges.withColumn("_r", some).where(F.col("_r") <= REVERSE).select(F.col("v").alias("u"), F.col("u").alias("v"))
-    both = edges.select("u", "v").union(back)
-    around = durable(both.groupBy(F.col("u").alias("v")).agg(F.collect_set("v").alias("near")), "nn-adjacency")  # k and REVERSE at most
-    vectors = durable(queries.join(nodes, F.col("q") == F.col("node")).select("q", "x"), "nn-queries")
-    bars = _bars(vectors, nodes, k)
     order = Window.partitionBy("q").orderBy(F.desc("s"), "v")
-    front = vectors.select("q", F.col("q").alias("v"))
-    seen, starts = None, _starts(nodes, beam)
+    unexpanded = lambda seen: seen.where((F.col("r") <= beam) & ~F.col("done") & (F.col("q") != F.col("v"))).select("q", "v")
+    score_at = lambda seen, r, name: seen.where(F.col("r") == r).select("q", F.col("s").alias(name))
+    entered = lambda seen: _entering(vectors, score_at(seen, beam, "last"), _starts(nodes, beam), nodes)
+    front, entering = vectors.select("q", F.col("q").alias("v")), None
+    if seen is not None:
+        front, entering = unexpanded(seen), entered(seen)
+    tried = seen is not None
     while True:
         new = front.join(around, "v").select("q", F.explode("near").alias("v"))
-        if starts is not None:
-            new = new.union(vectors.select("q").crossJoin(F.broadcast(starts)))
+        if entering is not None:
+            new = new.union(entering)
         if seen is None:
+            asked = vectors.withColumn("least", F.lit(None).cast("double"))
             new = new.union(front).distinct()
         else:
+            # what ranks beyond two beams cannot come back into one; met again, it is scored again
+            asked = vectors.join(score_at(seen, 2 * beam, "least"), "q", "left")
             new = new.distinct().join(seen.select("q", "v"), ["q", "v"], "left_anti")
-        asked = new.groupBy("q", slice_of(F.col("v")).alias("slice")).agg(F.collect_list("v").alias("nodes"))  # of one query: its front's edges and the starts at most
-        asked = asked.join(vectors, "q")
-        scored = asked.groupBy("slice").cogroup(stored.groupBy("slice")).applyInPandas(_scores, "q long, v long, s double")
+        new = new.groupBy("q", slice_of(F.col("v")).alias("slice")).agg(F.collect_list("v").alias("nodes"))  # of one query: its front's edges and the starts that enter at most
+        scored = new.join(asked, "q").groupBy("slice").cogroup(stored.groupBy("slice")).applyInPandas(_scores, "q long, v long, s double")
         scored = scored.withColumn("done", F.lit(False))
-        ranked = (scored if seen is None else seen.unionByName(scored)).withColumn("r", F.row_number().over(order))
-        # what ranks beyond two beams cannot come back into one; met again, it is scored again
-        seen = durable(ranked.where(F.col("r") <= 2 * beam), "nn-beam")
-        front, starts = seen.where((F.col("r") <= beam) & ~F.col("done") & (F.col("q") != F.col("v"))).select("q", "v"), None
+        if seen is not None:
+            scored = seen.withColumn("done", F.col("done") | (F.col("r") <= beam)).drop("r").unionByName(scored)
+        seen = durable(scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 * beam), "nn-beam")
+        front, entering = unexpanded(seen), None
         if front.isEmpty():
-            beams = seen.where(F.col("r") <= beam + 1).select("q", "v", "s")
-            if beam >= n or _recall(beams, bars) >= TARGET:
-                return beams
-            seen = seen.withColumn("done", F.col("done") | (F.col("r") <= beam))
-            beam *= 2
-            front, starts = seen.where((F.col("r") <= beam) & ~F.col("done") & (F.col("q") != F.col("v"))).select("q", "v"), _starts(nodes, beam)
-        seen = seen.withColumn("done", F.col("done") | (F.col("r") <= beam)).drop("r")
+            if tried:
+                return seen
+            entering, tried = entered(seen), True
+
+
+def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 20, beam: int | None = None) -> DataFrame:
+    """The beam (``q``, ``v``, ``s``) of each query node in the column ``q``, itself included, by greedy search from its neighbours.
+
+    Beams are as wide as a sample of the queries needs to have ``TARGET`` of its ``k`` nearest.
+    """
+    n = nodes.count()
+    beam = max(beam or BEAM, k)
+    slices = max(1, -(-n // SLICE))
+    some = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u", F.lit(SEED))))
+    back = edges.withColumn("_r", some).where(F.col("_r") <= REVERSE).select(F.col("v").alias("u"), F.col("u").alias("v"))
+    both = edges.select("u", "v").union(back)
+    around = durable(both.groupBy(F.col("u").alias("v")).agg(F.collect_set("v").alias("near")), "nn-adjacency")  # k and REVERSE at most
+    vectors = durable(queries.join(nodes, F.col("q") == F.col("node")).select("q", "x"), "nn-queries")
+    sampled = durable(vectors.orderBy(F.xxhash64(F.lit(SEED), "q"), "q").limit(SAMPLE), "nn-sample")
+    bars = _bars(sampled, nodes, k)
+    within = lambda seen: seen.where(F.col("r") <= beam + 1).select("q", "v", "s")
+    seen = _settled(sampled, nodes, around, slices, beam)
+    while beam < n and _recall(within(seen), bars) < TARGET:
+        beam *= 2
+        seen = _settled(sampled, nodes, around, slices, beam, seen)
+    others = durable(vectors.join(F.broadcast(sampled.select("q")), "q", "left_anti"), "nn-others")
+    return within(seen) if others.isEmpty() else within(seen).union(within(_settled(others, nodes, around, slices, beam)))
 
 
 def nearest(rows: DataFrame, every: int = 20, k: int = 20) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -79,6 +80,45 @@ def test_search_goes_on_until_enough_is_found(spark):
     assert found_share(best, list(range(len(x))), x, 10, 20) >= 0.9
 
 
+def test_start_nodes_enter_by_blocks(spark, monkeypatch):
+    """Only start nodes that are not behind the last of a beam become rows, and no step of the search is a cross join."""
+    plans, stored = [], nndescent.durable
+    monkeypatch.setattr(nndescent, "durable", lambda df, name, *more: (plans.append(df._jdf.queryExecution().toString()), stored(df, name, *more))[1])
+    monkeypatch.setattr(nndescent, "BLOCK", 16)
+    x = np.random.default_rng(13).normal(size=(300, 8))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, x array<double>")
+    near = [[j for j in np.argsort(-(x @ v)).tolist() if j != i][:10] for i, v in enumerate(x)]
+    edges = spark.createDataFrame([(i, j, float(x[i] @ x[j])) for i in range(len(x)) for j in near[i]], "u long, v long, s float")
+    asking = nodes.where("node % 6 = 0").select(F.col("node").alias("q"), "x")
+    last = {q: float(np.sort(x @ x[q])[-9]) for q in range(0, 300, 12)}
+    entering = nndescent._entering(asking, spark.createDataFrame(list(last.items()), "q long, last double"), nodes.where("node % 5 = 0").selectExpr("node AS v"), nodes)
+    got = sorted((r["q"], r["v"]) for r in entering.collect())
+    assert got == [(q, v) for q in range(0, 300, 6) for v in range(0, 300, 5) if q not in last or x[v] @ x[q] >= last[q] - 1e-12]
+    nndescent.search(asking.select("q"), nodes, edges)
+    assert len(plans) > 4 and not [p for p in plans if "Cross" in p or "Cartesian" in p]
+
+
+def test_width_of_beams_is_found_on_the_sample(spark, monkeypatch):
+    """The queries that are not sampled are searched once, with the sample's last beams."""
+    widths, settled = [], nndescent._settled
+    monkeypatch.setattr(nndescent, "_settled", lambda vectors, *more: (widths.append((vectors.count(), more[3])), settled(vectors, *more))[1])
+    monkeypatch.setattr(nndescent, "SAMPLE", 10)
+    x = np.random.default_rng(11).normal(size=(600, 16))
+    near = [[j for j in np.argsort(-(x @ x[i])).tolist() if j != i and j % 2 == i % 2][:10] for i in range(len(x))]
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, x array<double>")
+    edges = spark.createDataFrame([(i, j, float(x[i] @ x[j])) for i in range(len(x)) for j in near[i]], "u long, v long, s float")
+    beams = nndescent.search(nodes.where("node % 10 = 0").selectExpr("node AS q"), nodes, edges, beam=20).where("q <> v")
+    best = beams.selectExpr("q AS query_id", "v AS vec_id", "row_number() OVER (PARTITION BY q ORDER BY s DESC) AS r").where("r <= 20").collect()
+    assert widths[:-1] == [(10, 20 * 2**i) for i in range(len(widths) - 1)] and widths[-1] == (50, widths[-2][1])
+    assert found_share(best, list(range(len(x))), x, 10, 20) >= 0.9
+
+
+def test_scores_below_the_least_are_left_out():
+    asked = pd.DataFrame({"q": [1, 2], "x": [np.array([1.0, 0.0]), np.array([0.0, 1.0])], "least": [0.5, None], "nodes": [np.array([7, 8, 9]), np.array([7, 9])]})
+    vectors = pd.DataFrame({"node": [9, 7, 8], "x": [np.array([0.5, 2.0]), np.array([0.4, 1.0]), np.array([3.0, 3.0])]})
+    assert nndescent._scores(asked, vectors).values.tolist() == [[1, 8, 3.0], [1, 9, 0.5], [2, 7, 1.0], [2, 9, 2.0]]
+
+
 def test_recall_of_unequal_norms(spark, monkeypatch):
     """Norms from 0.5 to 1.5, and one vector that is far longer than all."""
     monkeypatch.setattr(nndescent, "LEAF", 200)
