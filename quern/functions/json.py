@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .limits import exceeded, first_error
-from .values import bind, tagged_number, variant_kind
+from .values import bind, kind_of, tagged_number, variant_kind
 
 TOKEN = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null|[\[\]{}:,]'
 
@@ -21,7 +21,7 @@ def parsed(json: Column) -> Column:
 
 def kind_at(value: Column, path: str = "$") -> Column:
     """``string number bool nil list map`` of what lies at the path, or null where nothing does."""
-    return variant_kind(value if path == "$" else F.try_variant_get(value, path, "variant"))
+    return variant_kind(value) if path == "$" else kind_of(lambda as_type: F.try_variant_get(value, path, as_type))
 
 
 def string_at(value: Column, path: str) -> Column:
@@ -41,12 +41,12 @@ def bool_at(value: Column, path: str) -> Column:
 
 def items_at(value: Column, path: str) -> Column:
     """The items of the list at the path, as VARIANTs; null for any other kind."""
-    return F.when(kind_at(value, path) == "list", F.try_variant_get(value, path, "array<variant>"))
+    return F.try_variant_get(value, path, "array<variant>")
 
 
 def keys_at(value: Column, path: str = "$") -> Column:
     """The field names of the map at the path, in the order of names; null for any other kind."""
-    return F.when(kind_at(value, path) == "map", F.map_keys(F.try_variant_get(value, path, "map<string,variant>")))
+    return F.map_keys(F.try_variant_get(value, path, "map<string,variant>"))
 
 
 def tokens(json: Column) -> Column:

@@ -58,14 +58,20 @@ def object_fields(json: Column) -> Column:
     return F.transform(F.map_entries(values), one)
 
 
-#: Kinds of values by the first word of a VARIANT's schema.
-KINDS = {"STRING": "string", "BOOLEAN": "bool", "VOID": "nil", "OBJECT": "map", "ARRAY": "list"} | dict.fromkeys(("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "number")
+#: Kinds of scalars by the first word of a VARIANT's schema.
+KINDS = {"STRING": "string", "BOOLEAN": "bool", "VOID": "nil"} | dict.fromkeys(("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "number")
 
 
 def variant_kind(v: Column) -> Column:
     """``string number bool nil list map`` of a VARIANT; null for null."""
-    word = F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
-    return F.element_at(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair]), word)
+    return kind_of(lambda as_type: v if as_type == "variant" else F.try_variant_get(v, "$", as_type))
+
+
+def kind_of(get) -> Column:
+    """The kind of the VARIANT that ``get("variant")`` is.  Only scalars are asked for their schema: that of a list or map takes all they hold."""
+    word = F.substring_index(F.schema_of_variant(get("variant")), "(", 1)
+    scalar = F.element_at(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair]), word)
+    return F.when(get("array<variant>").isNotNull(), "list").when(get("map<string,variant>").isNotNull(), "map").otherwise(scalar)
 
 
 def repeated_keys(json: Column) -> Column:

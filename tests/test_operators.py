@@ -300,3 +300,18 @@ def test_parts_and_records_of_nothing(spark):
     got = [r[0] for r in rows.select(packets.part_reason(F.col("kind"), F.col("payload"))).collect()]
     assert got == ["unknown part null", None, "frame must be a map", None]
     assert [r[0] for r in spark.createDataFrame([(None,), ("",), ("[]",)], "t string").select(records.record_reason(F.col("t"))).collect()][2] == "a record is no map"
+
+
+def test_kinds_without_the_schema_of_containers(spark):
+    """Kinds of values at the top and at a path; no list or map is asked for its schema, and keys are dealt out before documents are made."""
+    from quern.functions.json import items_at, keys_at, kind_at, parsed
+    from quern.plans import wires
+
+    cases = {"[]": "list", '[1,{"a":2}]': "list", "{}": "map", '{"a":[1]}': "map", '"[1]"': "string", "1": "number", "1.5": "number", "1e300": "number", "true": "bool", "null": "nil"}
+    rows = spark.createDataFrame([(j, f'{{"x y":{j}}}') for j in cases] + [("{", "{")], "j string, o string")
+    top, inner = parsed(F.col("j")), parsed(F.col("o"))
+    got = rows.select("j", kind_at(top), kind_at(inner, '$["x y"]'), items_at(top, "$").isNotNull(), keys_at(top).isNotNull()).collect()
+    assert [tuple(r) for r in got] == [*((j, k, k, k == "list", k == "map") for j, k in cases.items()), ("{", None, None, False, False)]
+    asked = spark.createDataFrame([('[{"a":1}]',)], "j string").select(F.when(kind_at(parsed(F.col("j"))) == "list", 1))._jdf.queryExecution().toString()
+    assert "CASE WHEN isnotnull(try_variant_get" in asked
+    assert wires.index_fields(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
