@@ -12,8 +12,8 @@ expanded yet, along edges of either direction, all at once, until the beam no lo
 same for all, that its beam has room for, and goes on.  Start nodes are compared with the beam's last in blocks, so that those behind it
 are never rows.  Scores in the search are
 exact, on the original vectors.  How wide beams are is found on a sample of the queries, which is compared with brute force: while too few of
-their nearest are found, beams are doubled, more start nodes are added, and the search goes on.  The other queries are then searched once, with
-beams of that width.  A beam of all nodes starts at all of them.
+their nearest are found, beams are doubled, more start nodes are added, and the search goes on.  The other queries then go
+through the same widths; as the last is known, they need no score that cannot rank within two beams of it.  A beam of all nodes starts at all of them.
 
 All steps are joins and windows on node identifiers; vectors travel to where they are compared, and no task needs
 more than the members of one node or leaf, or one slice of the vectors.
@@ -254,8 +254,8 @@ def _recall(beams: DataFrame, bars: DataFrame) -> float:
     return bars.join(found, "q", "left").agg(F.coalesce(F.avg(share), F.lit(1.0))).first()[0]
 
 
-def _settled(vectors: DataFrame, nodes: DataFrame, around: DataFrame, slices: int, beam: int, seen: DataFrame | None = None) -> DataFrame:
-    """What greedy search sees (``q``, ``v``, ``s``, ``done``, rank ``r`` up to two beams) when the beams of the queries in ``vectors`` no longer change.
+def _settled(vectors: DataFrame, nodes: DataFrame, around: DataFrame, slices: int, beam: int, kept: int, seen: DataFrame | None = None) -> DataFrame:
+    """What greedy search sees (``q``, ``v``, ``s``, ``done``, rank ``r`` up to ``kept``) when the beams of the queries in ``vectors`` no longer change.
 
     With ``seen``, what narrower beams have settled on, the search goes on from there.
     """
@@ -277,15 +277,15 @@ def _settled(vectors: DataFrame, nodes: DataFrame, around: DataFrame, slices: in
             asked = vectors.withColumn("least", F.lit(None).cast("double"))
             new = new.union(front).distinct()
         else:
-            # what ranks beyond two beams cannot come back into one; met again, it is scored again
-            asked = vectors.join(score_at(seen, 2 * beam, "least"), "q", "left")
+            # what ranks beyond two of the widest beams cannot come back into one; met again, it is scored again
+            asked = vectors.join(score_at(seen, kept, "least"), "q", "left")
             new = new.distinct().join(seen.select("q", "v"), ["q", "v"], "left_anti")
         new = new.groupBy("q", slice_of(F.col("v")).alias("slice")).agg(F.collect_list("v").alias("nodes"))  # of one query: its front's edges and the starts that enter at most
         scored = new.join(asked, "q").groupBy("slice").cogroup(stored.groupBy("slice")).applyInPandas(_scores, "q long, v long, s double")
         scored = scored.withColumn("done", F.lit(False))
         if seen is not None:
             scored = seen.withColumn("done", F.col("done") | (F.col("r") <= beam)).drop("r").unionByName(scored)
-        seen = durable(scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 * beam), "nn-beam")
+        seen = durable(scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= kept), "nn-beam")
         front, entering = unexpanded(seen), None
         if front.isEmpty():
             if tried:
@@ -309,12 +309,17 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 20,
     sampled = durable(vectors.orderBy(F.xxhash64(F.lit(SEED), "q"), "q").limit(SAMPLE), "nn-sample")
     bars = _bars(sampled, nodes, k)
     within = lambda seen: seen.where(F.col("r") <= beam + 1).select("q", "v", "s")
-    seen = _settled(sampled, nodes, around, slices, beam)
+    widths, seen = [beam], _settled(sampled, nodes, around, slices, beam, 2 * beam)
     while beam < n and _recall(within(seen), bars) < TARGET:
         beam *= 2
-        seen = _settled(sampled, nodes, around, slices, beam, seen)
+        widths, seen = [*widths, beam], _settled(sampled, nodes, around, slices, beam, 2 * beam, seen)
     others = durable(vectors.join(F.broadcast(sampled.select("q")), "q", "left_anti"), "nn-others")
-    return within(seen) if others.isEmpty() else within(seen).union(within(_settled(others, nodes, around, slices, beam)))
+    if others.isEmpty():
+        return within(seen)
+    rest = None
+    for width in widths:  # fewer nodes are expanded than with the widest beam at once
+        rest = _settled(others, nodes, around, slices, width, 2 * beam, rest)
+    return within(seen).union(within(rest))
 
 
 def nearest(rows: DataFrame, every: int = 20, k: int = 20) -> DataFrame:

@@ -99,9 +99,9 @@ def test_start_nodes_enter_by_blocks(spark, monkeypatch):
 
 
 def test_width_of_beams_is_found_on_the_sample(spark, monkeypatch):
-    """The queries that are not sampled are searched once, with the sample's last beams."""
+    """The queries that are not sampled go through the sample's widths, and keep two of the widest beams from the first."""
     widths, settled = [], nndescent._settled
-    monkeypatch.setattr(nndescent, "_settled", lambda vectors, *more: (widths.append((vectors.count(), more[3])), settled(vectors, *more))[1])
+    monkeypatch.setattr(nndescent, "_settled", lambda vectors, *more: (widths.append((vectors.count(), more[3], more[4])), settled(vectors, *more))[1])
     monkeypatch.setattr(nndescent, "SAMPLE", 10)
     x = np.random.default_rng(11).normal(size=(600, 16))
     near = [[j for j in np.argsort(-(x @ x[i])).tolist() if j != i and j % 2 == i % 2][:10] for i in range(len(x))]
@@ -109,7 +109,8 @@ def test_width_of_beams_is_found_on_the_sample(spark, monkeypatch):
     edges = spark.createDataFrame([(i, j, float(x[i] @ x[j])) for i in range(len(x)) for j in near[i]], "u long, v long, s float")
     beams = nndescent.search(nodes.where("node % 10 = 0").selectExpr("node AS q"), nodes, edges, beam=20).where("q <> v")
     best = beams.selectExpr("q AS query_id", "v AS vec_id", "row_number() OVER (PARTITION BY q ORDER BY s DESC) AS r").where("r <= 20").collect()
-    assert widths[:-1] == [(10, 20 * 2**i) for i in range(len(widths) - 1)] and widths[-1] == (50, widths[-2][1])
+    steps = [20 * 2**i for i in range(len(widths) // 2)]
+    assert widths == [(10, b, 2 * b) for b in steps] + [(50, b, 2 * steps[-1]) for b in steps]
     assert found_share(best, list(range(len(x))), x, 10, 20) >= 0.9
 
 
