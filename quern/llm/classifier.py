@@ -41,7 +41,7 @@ _RUN = re.compile(rb"(.)\1+", re.DOTALL)
 class Terms:
     """Hashed term counts of texts; remembers the terms of the words it has met, up to a bound."""
 
-    def __init__(self, terms: int = TERMS, remembered: int = 300_000):
+    def __init__(self, terms: int = TERMS, remembered: int = 1 << 16):
         self.terms, self.remembered = terms, remembered
         self.known: dict[bytes, tuple[int, int]] = {}
 
@@ -149,13 +149,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            out = np.zeros(batch.num_rows)
-            data = batch.column(at).cast(pa.large_binary())
-            for i in range(0, batch.num_rows, BLOCK):
+            data = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
+            for i in range(0, batch.num_rows, BLOCK):  # blocks go back as they are ready, not a batch at a time
                 x = np.stack([terms.counts(t.as_py() or b"") for t in data[i : i + BLOCK]])
-                out[i : i + BLOCK] = np.where(x.any(axis=1), model.score(x), 0.0)
-            yield pa.RecordBatch.from_arrays([*(c for c in batch.columns), pa.array(out)], names=[*batch.schema.names, name])
+                out = pa.array(np.where(x.any(axis=1), model.score(x), 0.0).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, BLOCK).columns, out], names=[*batch.schema.names, name])
 
     if name in docs.columns:
         raise ValueError(f"a column {name} exists already")

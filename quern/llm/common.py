@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Rows of a batch where whole texts go to workers.
+RECORDS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

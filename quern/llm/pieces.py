@@ -20,6 +20,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 from heapq import heappop, heappush
 from itertools import accumulate
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, table
+from .common import RECORDS, durable, table
 
 SPACE = "▁"
 #: White space that cuts words where no piece joins it to anything.
@@ -39,8 +40,11 @@ BREAKS = "\t\n\x0b\f\r"
 LONGEST = 62
 #: The lattice's words are the most frequent, up to so many: some 10 MB with their ids.
 FREQUENT = 1 << 17
-#: Other words of up to so many characters are merged in matrices, longer ones by a queue; words that a worker remembers besides the frequent.
-WIDE, REMEMBERED = 32, 400_000
+#: Other words of up to so many characters are merged in matrices, longer ones by a queue.
+WIDE = 32
+#: What a task holds at most: words remembered besides the frequent, words counted before they are handed on, words merged side by side, and documents
+#: and characters (of one document at least) cut into words at a time.
+REMEMBERED, COUNTED, SIDE_BY_SIDE, TEXTS, CHARACTERS = 1 << 16, 1 << 17, 1 << 13, 256, 1 << 20
 #: SentencePiece's penalty of an unknown character below the least score of a unigram model.
 UNKNOWN_PENALTY = 10.0
 
@@ -225,12 +229,15 @@ class Merger:
 
     def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in turn."""
-        for at in range(0, len(texts), 256):
-            words = [self.cut(t) for t in texts[at : at + 256]]
+        for group in _groups(texts):
+            words = [self.cut(t) for t in group]
             new = [w for w in set().union(*words) if w not in self.frequent]
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
-            extra = self.learn([w for w in new if w not in self.known])
+            unknown = [w for w in new if w not in self.known]
+            extra: dict[str, bytes] = {}
+            for at in range(0, len(unknown), SIDE_BY_SIDE):
+                extra |= self.learn(unknown[at : at + SIDE_BY_SIDE])
             tables = (self.frequent, self.known, extra)
             ids = {w: next(t[w] for t in tables[1:] if w in t) for w in new}
             for w in words:
@@ -248,31 +255,52 @@ class Merger:
         return self.spelt
 
 
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in turn, so many together as a task may cut into words at a time."""
+    group: list[str] = []
+    size = 0
+    for t in texts:
+        if group and (len(group) == TEXTS or size + len(t) > CHARACTERS):
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield group
+
+
 _MERGERS: dict[str, Merger] = {}
 
 
 def merger(path: str, frequent: Broadcast | None = None) -> Merger:
-    """The merger of a model, one a worker; with the ids of frequent words, where these are given."""
+    """A merger for one task, with the ids of frequent words where these are given.
+
+    A worker keeps the model's tables; the words a merger remembers go with it, so they don't stay beside the work of later stages.
+    """
     if path not in _MERGERS:
         _MERGERS[path] = Merger(path)
-    if frequent is not None:
-        _MERGERS[path].frequent = frequent.value
-    return _MERGERS[path]
+    m = copy(_MERGERS[path])
+    m.frequent, m.known = {} if frequent is None else frequent.value, {}
+    return m
 
 
 def _counting(model: str):
-    """How often a batch of documents has each word that the lattice can take."""
+    """How often documents have each word that the lattice can take; counts are handed on, to be summed, whenever there are ``COUNTED`` words."""
+
+    def told(counts: Counter[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["asked", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(model)
+        counts: Counter[str] = Counter()
         for batch in batches:
-            counts: Counter[str] = Counter()
             for t in batch.column(0):
-                counts.update(m.cut(t.as_py()))
-            found = [(w, n) for w, n in counts.items() if len(w) <= LONGEST]
-            for at in range(0, len(found), 65_536):
-                words, n = zip(*found[at : at + 65_536], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], ["asked", "n"])
+                counts.update(w for w in m.cut(t.as_py()) if len(w) <= LONGEST)
+                if len(counts) >= COUNTED:
+                    yield told(counts)
+                    counts = Counter()
+        if counts:
+            yield told(counts)
 
     return run
 
@@ -283,7 +311,7 @@ def frequent_words(docs: DataFrame, model: str, text: str = "text") -> DataFrame
     Counts are exact and cover all rows.  Words are taken by classes of nearly equal counts while all of a class still fits, so nothing is sorted.
     """
     counts = docs.select(F.col(text).alias("text")).mapInArrow(_counting(model), "asked string, n long").groupBy("asked").agg(F.sum("n").alias("n"))
-    counts = durable(counts.withColumn("class", F.floor(8 * F.log2("n"))), "pieces-words")
+    counts = durable(counts.withColumn("class", F.floor(8 * F.log2("n"))), "pieces-words", records=RECORDS)
     classes = sorted(counts.groupBy("class").count().collect(), reverse=True)
     fits = [c["class"] for c, total in zip(classes, accumulate(c["count"] for c in classes), strict=True) if total <= FREQUENT]
     taken = counts.where(F.col("class") >= (fits[-1] if fits else float("inf")))
@@ -315,8 +343,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", name: str = "ids") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(model, frequent)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):  # a worker holds the ids of a few documents, not of a batch
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, TEXTS):  # a worker holds the ids of a few documents, not of a batch
+                batch = whole.slice(at, TEXTS)
                 texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
                 ids = list(m.batch(texts))
                 ends = np.cumsum([0, *map(len, ids)])
@@ -350,15 +378,17 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(model, frequent)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            counts, sums, same = [], [], []
-            for t, ids in zip(texts, m.batch(texts), strict=True):
-                counts.append(len(ids))
-                sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                same.append(m.decode(ids) == t.replace(SPACE, " "))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                texts = [x or "" for x in batch.column(1).to_pylist()]
+                counts, sums, same = [], [], []
+                for t, ids in zip(texts, m.batch(texts), strict=True):
+                    counts.append(len(ids))
+                    sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                    same.append(m.decode(ids) == t.replace(SPACE, " "))
+                columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
 
@@ -366,8 +396,13 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
 def piece_table(spark: SparkSession, model: str) -> DataFrame:
     """The pieces of a model file that text can match: ``piece``, ``id``, ``score``."""
     pieces, _, _ = read_model(model)
-    rows = [(p, i, float(s)) for i, (p, s, t) in enumerate(pieces) if t in (1, 4)]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    return _local(spark, [(p, i, float(s)) for i, (p, s, t) in enumerate(pieces) if t in (1, 4)], [pa.string(), pa.int32(), pa.float64()], ["piece", "id", "score"])
+
+
+def _local(spark: SparkSession, rows: list[tuple], types: list[pa.DataType], names: list[str]) -> DataFrame:
+    """Rows of the driver by Arrow; as plain Python rows they would start a second daemon with workers beside those of the stages on every executor."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names))
 
 
 def _spans(words: DataFrame, longest: int) -> DataFrame:
@@ -397,7 +432,7 @@ def _lattice(words: DataFrame, model: str) -> DataFrame:
         raise ValueError("not a merge model")
     usable = [(p, i, s) for i, (p, s, t) in enumerate(pieces) if t in (1, 4)]
     place = {s: r for r, s in enumerate(sorted({s for _, _, s in usable}, reverse=True))}
-    table_ = spark.createDataFrame([(p, i, place[s]) for p, i, s in usable], "piece string, id int, rank int")
+    table_ = _local(spark, [(p, i, place[s]) for p, i, s in usable], [pa.string(), pa.int32(), pa.int32()], ["piece", "id", "rank"])
     bytes_ = {p: i for i, (p, _, t) in enumerate(pieces) if t == 6}
     of_byte = F.array(*[F.lit(bytes_.get(f"<0x{b:02X}>", unknown)) for b in range(256)])
     found = _spans(words, max(len(p) for p, _, _ in usable)).join(F.broadcast(table_), "piece", "left").where(F.col("id").isNotNull() | (F.col("k") == 1))

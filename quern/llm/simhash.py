@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, table, with_place
+from .common import RECORDS, durable, table, with_place
 from .components import connected_components
 
 SEED = 42
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     is one shingle.  Repeated rows are rows of one component.  Null identifiers never name a component unless it has no other.
     An empty table gives an empty result; other columns take no part.
     """
-    rows = durable(docs.select(F.col(ident).alias("doc_id"), fingerprints(F.col(text)).alias("fp")), "simhash-rows")
+    rows = durable(docs.select(F.col(ident).alias("doc_id"), fingerprints(F.col(text)).alias("fp")), "simhash-rows", records=RECORDS)
     named = _named(rows)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = named.join(ids, "root").select("fp", "component_id")
@@ -194,7 +194,7 @@ def keep_one(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> Data
     """
     placed = with_place(docs)
     rows = placed.select(F.col(ident).alias("doc_id"), fingerprints(F.col(text)).alias("fp"), "_file", "_row")
-    rows = durable(rows, "simhash-rows")
+    rows = durable(rows, "simhash-rows", records=RECORDS)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_file", "_row")
     kept = rows.join(_named(rows).select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("m"))
     kept = durable(kept.select("m._file", "m._row"), "simhash-kept")
