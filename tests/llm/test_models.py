@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -114,6 +115,48 @@ def test_width_of_beams_is_found_on_the_sample(spark, monkeypatch):
     assert found_share(best, list(range(len(x))), x, 10, 20) >= 0.9
 
 
+def test_search_stores_arrays_not_rows(spark, monkeypatch):
+    """What the search goes through for each query is in arrays: no table that it stores has more rows than there are nodes."""
+    stored, durable = {}, nndescent.durable
+
+    def counted(df, name, *more):
+        out = durable(df, name, *more)
+        stored.setdefault(name, []).append(out.count())
+        return out
+
+    x = np.random.default_rng(14).normal(size=(1000, 16))
+    near = [[j for j in np.argsort(-(x @ v)).tolist() if j != i][:10] for i, v in enumerate(x)]
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, x array<double>")
+    edges = spark.createDataFrame([(i, j, float(x[i] @ x[j])) for i in range(len(x)) for j in near[i]], "u long, v long, s float")
+    monkeypatch.setattr(nndescent, "durable", counted)
+    beams = nndescent.search(nodes.where("node % 5 = 0").selectExpr("node AS q"), nodes, edges)
+    stored.pop("nn-best", None)  # the result
+    assert len(stored) > 5 and max(map(max, stored.values())) <= len(x)
+    best = beams.where("q <> v").selectExpr("q AS query_id", "v AS vec_id", "row_number() OVER (PARTITION BY q ORDER BY s DESC) AS r").where("r <= 20").collect()
+    assert found_share(best, list(range(len(x))), x, 5, 20) >= 0.9
+
+
+def test_leaves_and_dealing():
+    """A leaf gives each member its nearest, in parts by the slice of the first end, and equal pairs count once."""
+    rng = np.random.default_rng(15)
+    g = rng.normal(size=(1300, 8)).astype(np.float32)
+    g /= np.linalg.norm(g, axis=1, keepdims=True)
+    node = rng.permutation(1300).astype(np.int64)
+    rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(1300, np.int64)), pa.array(node), pa.array([r.tobytes() for r in g], pa.binary())], ["at", "node", "g"])
+    edges: dict = {}
+    for at, _, _, p in (row for batch in nndescent._leaves(10, 4)([rows.slice(0, 700), rows.slice(700)]) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+        u, v = (np.frombuffer(x, np.int64) for x in p[:2])
+        assert (nndescent._dealt(u, 4) == at).all()
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            edges.setdefault(a, set()).add(b)
+    s = g @ g.T
+    np.fill_diagonal(s, -9.0)
+    near = {int(node[i]): set(node[np.argsort(-s[i])[:10]].tolist()) for i in range(len(node))}
+    assert all(near[i] <= edges[i] for i in near) and sum(map(len, edges.values())) < 1.3 * 10 * len(node)
+    at = nndescent._distinct(nndescent._pair(np.array([1, 0, 1, 1, 2]), np.array([5, 5, 5, -5, 7]), 3), known=1)
+    assert sorted(at.tolist()) == [1, 3, 4]
+
+
 def test_scores_below_the_least_are_left_out():
     asked = pd.DataFrame({"q": [1, 2], "x": [np.array([1.0, 0.0]), np.array([0.0, 1.0])], "least": [0.5, None], "nodes": [np.array([7, 8, 9]), np.array([7, 9])]})
     vectors = pd.DataFrame({"node": [9, 7, 8], "x": [np.array([0.5, 2.0]), np.array([0.4, 1.0]), np.array([3.0, 3.0])]})
